@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import quality, simhash
+from weft.llm import quality, simhash, suffix
 from weft.llm._shared import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.duplicated(read(spark, sf_dir, "documents")).drop("th")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ledger(read(spark, sf_dir, "documents"))
 
@@ -20,6 +24,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, quality_ablation, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_quality_rules, quality_ablation, op9_simhash_near_dedup)}
 
-ORACLES = {"op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL}
+ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL}
