@@ -76,16 +76,21 @@ class Words:
     def __init__(self, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, offs: np.ndarray):
         self.start, self.end, self.hash = start, end, hashes
         self.first = np.searchsorted(start, offs)
+        self.heads: list[np.ndarray] = []
 
     @property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> Words:
-    """All words of the batch. ``fold``: runs of letters and digits, lower-cased; else runs between white space, as they are."""
+def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, heads: tuple[int, ...] = ()) -> Words:
+    """All words of the batch. ``fold``: runs of letters and digits, lower-cased; else runs between white space, as they are.
+
+    ``heads``: for each, also a hash of every word's first so many bytes, in ``heads`` (0: the word is no longer than that).
+    """
     inside = ALNUM if fold else ~SPACE
     starts, ends, hashes = [], [], []
+    first_bytes: list[list[np.ndarray]] = [[] for _ in heads]
     cuts = offs[1:-1]
     at, n = 0, len(data)
     while at < n:
@@ -116,12 +121,18 @@ def words(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> Words:
             folded = fold_bytes(part) if fold else part
             np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
             h = (total[finish] - total[begin]) * inverse[begin]
+            for k, n_head in enumerate(heads):
+                long = finish - begin > n_head
+                part_h = mix((total[np.minimum(begin + n_head, len(part))] - total[begin]) * inverse[begin], 17 + n_head)
+                first_bytes[k].append(np.where(long, part_h, np.uint64(0)))
         starts.append(begin + at)
         ends.append(finish + at)
         hashes.append(mix(h))
         at = stop
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return Words(join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64), offs)
+    out = Words(join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64), offs)
+    out.heads = [join(x, np.uint64) for x in first_bytes]
+    return out
 
 
 def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

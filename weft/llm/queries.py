@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, quality, secrets, simhash, suffix
+from weft.llm import packing, quality, secrets, simhash, suffix, toxicity
 from weft.llm._shared import read
 
 
@@ -12,6 +12,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.duplicated(read(spark, sf_dir, "documents")).drop("th")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,6 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_secret_scan, op5_quality_rules, quality_ablation, op9_simhash_near_dedup, op10_lexical_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_secret_scan, op5_quality_rules, quality_ablation, op9_simhash_near_dedup, op10_lexical_packing)}
 
 ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL}
