@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, quality, secrets, simhash, suffix, toxicity
+from weft.llm import packing, pieces, quality, secrets, simhash, suffix, toxicity, urls
 from weft.llm._shared import read
 
 
@@ -24,6 +24,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ledger(read(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_pages(read(spark, sf_dir, "pages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
 
@@ -36,6 +44,6 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_secret_scan, op5_quality_rules, quality_ablation, op9_simhash_near_dedup, op10_lexical_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_secret_scan, op5_quality_rules, quality_ablation, op6_url_filter, op8_sentencepiece, op9_simhash_near_dedup, op10_lexical_packing)}
 
-ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL}
+ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL, "op6_url_filter": urls.FILTER_SQL}
