@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, pieces, quality, secrets, simhash, suffix, toxicity, urls
+from weft.llm import licenses, matroska, packing, pieces, quality, secrets, simhash, suffix, toxicity, urls
 from weft.llm._shared import read
 
 
@@ -20,6 +20,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.packet_table(matroska.containers(read(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ledger(read(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_pages(read(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
@@ -44,6 +52,6 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_secret_scan, op5_quality_rules, quality_ablation, op6_url_filter, op8_sentencepiece, op9_simhash_near_dedup, op10_lexical_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_secret_scan, op4_matroska_packets, op5_quality_rules, quality_ablation, op6_url_filter, op7_license_scan, op8_sentencepiece, op9_simhash_near_dedup, op10_lexical_packing)}
 
 ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL, "op6_url_filter": urls.FILTER_SQL}
