@@ -11,7 +11,7 @@ first, the Hamming distances of all members to all references form the pivot tab
 triangle inequality a pair whose coordinates differ by more than ``radius`` anywhere is discarded;
 survivors are verified on the full fingerprints.  References that are members of the block matter:
 arbitrary ones lie 128 +- 8 bits from everything, and at this radius their tables discard nothing.
-Blocks have no size cap: time in a block is members x distinct texts.
+Blocks have no size cap: time in a block is members x balls.
 
 Defined cases: a null doc_id, a null text or a text without words is never a duplicate and stays.
 doc_id is the identity: rows that repeat one are the same document, and stay or go together.  Ties
@@ -82,41 +82,53 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def block_edges(fp: np.ndarray, radius: int = RADIUS, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
     """Links between the members of a block, whose components are those of all pairs within ``radius``.
 
-    Members within the radius of a reference are linked to it.  Of the other pairs, those in one ball
-    need no test (they are linked already); the pivot table discards most of the rest.
+    References are taken farthest first until every member lies within the radius of one; members are
+    linked to the references that near, and belong to the ball of the first.  What may still be missing
+    are pairs across balls.  For a ball, one look at its reference's column discards every outsider
+    farther from it than the ball's outermost member plus the radius; the columns of the first
+    ``pivots`` references discard most other pairs, and the rest are verified.
     """
     n = len(fp)
     ball = np.full(n, -1)
     nearest = np.full(n, 1 << 30)
     table, left, right = [], [], []
-    at = 0
-    while len(table) < min(pivots, n):
-        d = hamming(fp, fp[at])
-        table.append(d)
-        near = np.flatnonzero((d <= radius) & (np.arange(n) != at))
-        left.append(np.full(len(near), at))
-        right.append(near)
-        ball[(d <= radius) & (ball < 0)] = len(table) - 1
+    near_balls: list[tuple[np.ndarray, np.ndarray]] = []
+    at, balls = 0, 0
+    everyone = np.arange(n)
+    while True:
+        d = hamming(fp, fp[at]).astype(np.int16)
+        within = np.flatnonzero((d <= radius) & (everyone != at))
+        left.append(np.full(len(within), at))
+        right.append(within)
+        fresh = np.flatnonzero((d <= radius) & (ball < 0))
+        ball[fresh] = balls
+        balls += 1
+        if len(fresh) > 1:
+            outside = np.flatnonzero((d > radius) & (d <= d[fresh].max() + radius))
+            if len(outside):
+                near_balls.append((fresh, outside))
+        if len(table) < pivots:
+            table.append(d)
         nearest = np.minimum(nearest, d)
         at = int(np.argmax(nearest))
         if nearest[at] <= radius:
             break
-    coords = np.stack(table, 1).astype(np.int16)
-    step = max(1, (1 << 20) // n)
-    for lo in range(0, n if n > 2 else 0, step):
-        rows = np.arange(lo, min(n, lo + step))
-        alive = (rows[:, None] < np.arange(n)[None, :]) & ((ball[rows][:, None] != ball[None, :]) | (ball[rows][:, None] < 0))
-        i, j = np.nonzero(alive)
-        i += lo
-        for p in range(coords.shape[1]):
-            if not len(i):
-                break
-            keep = np.abs(coords[i, p] - coords[j, p]) <= radius
-            if not keep.all():
-                i, j = i[keep], j[keep]
-        keep = hamming(fp[i], fp[j]) <= radius
-        left.append(i[keep])
-        right.append(j[keep])
+    coords = np.stack(table, 1)
+    for inside, outside in near_balls:
+        step = max(1, (1 << 20) // len(outside))
+        for lo in range(0, len(inside), step):
+            i, j = (x.ravel() for x in np.meshgrid(inside[lo : lo + step], outside, indexing="ij"))
+            keep = ball[i] != ball[j]
+            i, j = i[keep], j[keep]
+            for p in range(coords.shape[1]):
+                if not len(i):
+                    break
+                keep = np.abs(coords[i, p] - coords[j, p]) <= radius
+                if not keep.all():
+                    i, j = i[keep], j[keep]
+            keep = hamming(fp[i], fp[j]) <= radius
+            left.append(i[keep])
+            right.append(j[keep])
     return np.concatenate(left), np.concatenate(right)
 
 
