@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENTITY_TYPES = ("concept", "framework", "language", "location", "organization", "person", "project", "skill", "technology", "tool")
 DOMAINS = ("general", "personal", "platform", "research", "work")
@@ -34,7 +35,7 @@ _BAD = r"(?iU)\.(py|json|env|yaml|md)$|^/(api/|health|v1/)|^#|\d{4,}"
 _COMPANY = {"strict": r"\b(corporation|corp|inc|limited|ltd|the)\b\.?", "loose": r"\b(inc|corp|corporation|ltd|limited|the)\.?"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
