@@ -8,8 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,9 +44,13 @@ def ship(spark: SparkSession) -> None:
     sc._weft_shipped = True
 
 
-def text_key(text: str = "text") -> Column:
-    """Tells apart rows that share a doc_id but not a text; repeated rows have one key."""
-    return F.xxhash64(F.col(text))
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    own = f"__{name}"
+    while own in taken:
+        own += "_"
+    return own
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

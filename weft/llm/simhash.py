@@ -1,7 +1,8 @@
 """SimHash near-dedup with pivot distance tables.
 
-A document's fingerprint is the 256-bit SimHash of its word pairs (words lower-cased, punctuation
-dropped; a one-word document has that word as its only feature).  Two documents are near-duplicates
+A document's fingerprint is the 256-bit SimHash of its distinct word pairs (words lower-cased, punctuation
+dropped; a one-word document has that word as its only feature).  A line that fills half of a document by
+repetition weighs no more than one that is there once.  Two documents are near-duplicates
 if their fingerprints differ in at most ``radius`` bits; groups are the connected components, and the
 smallest doc_id of each group stays.
 
@@ -132,6 +133,14 @@ def block_edges(fp: np.ndarray, radius: int = RADIUS, pivots: int = PIVOTS) -> t
     return np.concatenate(left), np.concatenate(right)
 
 
+def _distinct(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct features, and the row offsets into them; 44 bits of a hash tell features apart."""
+    row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(offs)) << np.uint64(44)
+    key = np.unique(row | (h >> np.uint64(20)))
+    first = np.searchsorted(key, np.arange(len(offs), dtype=np.uint64) << np.uint64(44))
+    return _text.mix(key & np.uint64((1 << 44) - 1)), first
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, f0..f3 and the block keys of every document that has a doc_id and a word."""
 
@@ -139,7 +148,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in _text.slices(batches, "text", 4 << 20):
             data, offs = _text.buffer(batch.column(1))
             w = _text.words(data, offs)
-            h, at = _text.shingles(w.hash, w.first, 2)
+            h, at = _distinct(*_text.shingles(w.hash, w.first, 2))
             has = np.flatnonzero(np.diff(at) > 0)
             if not len(has):
                 continue
@@ -212,5 +221,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col, radius).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    own = _shared.unused(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, radius).select(F.col("doc_id").alias(own))
+    return docs.join(gone, docs[id_col].cast("long") == gone[own], "left_anti")
