@@ -135,9 +135,10 @@ def duplicate_spans(texts: pa.Array, doc: np.ndarray, begin: np.ndarray, length:
     offset = at - base[of]
     place = (doc[head][of] << 32) + begin[head][of] + offset
     order = np.lexsort((place, group))
-    lead = np.append(True, group[order][1:] != group[order][:-1])
+    lead = np.append(True, group[order][1:] != group[order][:-1])[: len(at)]
     least = np.empty(len(at), np.int64)
-    least[order] = place[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
+    if len(at):
+        least[order] = place[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
     # Later places of one run: all of it. The source: where its first window is found first.
     source = doc[head].copy()
     front = offset == 0
@@ -264,7 +265,8 @@ def duplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def cut_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with duplicate spans cut out of the texts; n_chars, where there is one, follows. All rows stay."""
     spans = duplicated(docs, id_col, text_col, length)
-    lists = spans.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
+    i, h, s = (_shared.unused(docs, n) for n in ("id", "th", "spans"))
+    lists = spans.groupBy(F.col("doc_id").alias(i), F.col("th").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(s))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -275,19 +277,19 @@ def cut_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data, offs = _text.buffer(texts.take(pa.array(hit)))
                 w = _text.words(data, offs, fold=False)
                 new = texts.to_pylist()
-                for k, i in enumerate(hit):
+                for k, row in enumerate(hit.tolist()):
                     starts = np.append(w.start[w.first[k] : w.first[k + 1]], offs[k + 1])
                     keep, done = [], offs[k]
-                    for span in lists[int(i)].as_py():
+                    for span in lists[row].as_py():
                         keep.append(data[done : starts[span["start_word"]]].tobytes())
                         done = starts[span["end_word"]]
                     keep.append(data[done : offs[k + 1]].tobytes())
-                    new[int(i)] = b"".join(keep).decode()
+                    new[row] = b"".join(keep).decode()
                 texts = pa.array(new, texts.type)
-            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([texts if c == at else batch.column(c) for c in range(batch.num_columns - 1)], batch.schema.names[:-1])
 
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    held = docs.join(lists.hint("shuffle_hash"), (id_ == F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left").select(*(docs[c] for c in docs.columns), "__spans")
+    held = docs.join(lists.hint("shuffle_hash"), (id_ == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left").select(*(docs[c] for c in docs.columns), s)
     out = held.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
