@@ -4,7 +4,7 @@ The corpus is split into shards of about ``SHARD`` documents by a hash of doc_id
 number, not in size.  Each has an inverted index; document frequencies, document count and mean
 length are those of the whole corpus.  Inside a shard the unused document with the smallest doc_id is
 the next seed; the index scores all documents against all of its terms, and the unused ones, best
-first (ties: smaller doc_id), fill the window as far as they fit.  A window closes when no scored
+first (ties: smaller doc_id, then length, then hash of the text), fill the window as far as they fit.  A window closes when no scored
 document fits.
 
 Lengths are in words.  A document longer than a window fills windows of its own, and what is left
@@ -31,12 +31,12 @@ K1, B = 1.2, 0.75
 DF_BITS = 22
 _CHUNK = 1 << 16
 
-_TERMS = "doc_id long, n_words long, terms array<int>, tfs array<int>"
+_TERMS = "doc_id long, th long, n_words long, terms array<int>, tfs array<int>"
 _PACKED = "shard long, window long, doc_ids array<long>, starts array<long>, lengths array<long>, n_words long"
 
 
 def term_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, length in words, and the distinct terms of each document with their counts."""
+    """doc_id, th (hash of the text), length in words, and the distinct terms of each document with their counts."""
 
     def run(batches):
         for batch in _text.slices(batches, "text", 4 << 20):
@@ -47,9 +47,9 @@ def term_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             n = np.diff(w.first)
             first = np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(32))
             lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (key.astype(np.uint32).view(np.int32), tf.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *lists], ["doc_id", "n_words", "terms", "tfs"]).filter(pa.array(n > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), *lists], ["doc_id", "th", "n_words", "terms", "tfs"]).filter(pa.array(n > 0))
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("th", F.xxhash64("text"))
     return picked.mapInArrow(run, _TERMS)
 
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         t = _text.gather(batches)
         if t is None:
             return
-        t = t.sort_by([("shard", "ascending"), ("doc_id", "ascending"), ("n_words", "ascending")])
+        t = t.sort_by([("shard", "ascending"), ("doc_id", "ascending"), ("n_words", "ascending"), ("th", "ascending")])
         shard, ids, n_words = (t.column(c).to_numpy() for c in ("shard", "doc_id", "n_words"))
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
