@@ -243,9 +243,11 @@ def packets(data: bytes) -> tuple[list[tuple], str | None]:
         first = next(top, None)
         if first is None or first[0] != EBML or first[3]:
             raise Damaged("no EBML header")
+        segments = 0
         for ident, a, b, short in top:
             if ident != SEGMENT:
                 continue
+            segments += 1
             for child, x, y, broken in _children(data, a, b):
                 if child == INFO:
                     for k, p, q, _ in _children(data, x, y):
@@ -270,6 +272,8 @@ def packets(data: bytes) -> tuple[list[tuple], str | None]:
                     raise Damaged(f"element {child:#x} cut short at byte {y}")
             if short:
                 raise Damaged(f"segment cut short at byte {b}")
+        if not segments:
+            raise Damaged("no segment")
     except Damaged as e:
         error = str(e)
     ms = scale / 1_000_000
