@@ -248,6 +248,17 @@ def test_snapshot_round_trip(spark, tmp_path):
     second = jsonl.export_snapshot(back.with_(entities=back.entities.withColumn("canonical_name", F.lit(None).cast("string"))), f"file://{tmp_path}/again", T0, 2)
     assert second["db_checksum"] == row["db_checksum"]
     assert jsonl.import_snapshot(g, at, "replace").entities.count() == 2
+    lines = [json.dumps({"type": "x", "entity_count": 1}), json.dumps({"record_type": "entity", "entity_id": "i", "name": "One", "type": "tool", "domain": "work", "confidence": 0.5, "mention_count": 2, "first_seen": "2024-01-02T12:34:789123Z", "last_seen": "2024-01-02T12:34:56.5Z", "aliases": '["o"]'})]
+    import hashlib
+
+    head = json.loads(lines[0]) | {"checksum": hashlib.sha256("\n".join([*lines, ""]).encode()).hexdigest()}
+    one = tmp_path / "one.jsonl"
+    one.write_text("\n".join([json.dumps(head), *lines[1:]]) + "\n")
+    row = jsonl.import_snapshot(none, f"file://{one}").entities.first()
+    assert (row.name, row.aliases, row.mention_count, row.first_seen) == ("One", ["o"], 2, datetime(2024, 1, 2, 12, 34, 0, 789123))
+    one.write_text(one.read_text().replace("One", "Two"))
+    with pytest.raises(ValueError, match="checksum"):
+        jsonl.import_snapshot(none, f"file://{one}")
     part = next(p for p in (tmp_path / "snap" / "part=1").glob("part-*") if p.stat().st_size)
     for crc in (tmp_path / "snap" / "part=1").glob(".*.crc"):
         crc.unlink()
@@ -308,7 +319,10 @@ def test_files(spark, tmp_path):
 
 
 def test_extraction_pipeline(spark):
-    answer = json.dumps({"entities": [{"name": "Docker", "type": "person", "confidence": "0.9"}, {"name": "a@b.co", "confidence": 0.9}, {"name": "Low", "confidence": 0.2}, {"name": "Odd", "confidence": "much"}, {"name": "docker"}], "relationships": [{"source": "Docker", "target": "Docker Inc.", "type": "likes"}, {"source": "sk-1", "target": "Docker", "type": "uses"}, {"source": "", "target": "Docker"}]})
+    entity = lambda name, **more: {"name": name} | more
+    related = lambda a, b, **more: {"source": a, "target": b} | more
+    found = [entity("Docker", type="person", confidence="0.9"), entity("a@b.co", confidence=0.9), entity("Low", confidence=0.2), entity("Odd", confidence="much"), entity("docker")]
+    answer = json.dumps({"entities": found, "relationships": [related("Docker", "Docker Inc.", type="likes"), related("sk-1", "Docker", type="uses"), related("", "Docker")]})
     prompts = spark.createDataFrame([("f", "s", 1, answer), ("f", "s", 2, "not json")], "source string, session_id string, seq long, text string")
     none = Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids")))
     g, report = ingest.extract_and_store(none, prompts, JsonExtractor(), T0, resolve_endpoints=True)

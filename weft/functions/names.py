@@ -25,14 +25,13 @@ TYPE_OF = {
     **dict.fromkeys(("faiss", "git", "github", "litellm", "ollama"), "tool"),
     **dict.fromkeys(("asyncio", "fastapi", "flask"), "framework"),
     "python": "language",
-    "agent zero": "project",
 }
 
 MIN_NAME, MAX_NAME, MIN_CONFIDENCE = 2, 100, 0.3
-_PREFIXES = ("/", "#", ".", "{", "<", "http", "api/")
+_PREFIXES = (*"/#.{<", "http", "api/")
 _BAD = r"(?iU)\.(py|json|env|yaml|md)$|^/(api/|health|v1/)|^#|\d{4,}"
 
-_COMPANY = {"strict": r"\b(corporation|corp|inc|limited|ltd|the)\b\.?", "loose": r"\b(inc|corp|corporation|ltd|limited|the)\.?"}
+_COMPANY = {"strict": r"\b(the|inc|ltd|limited|corporation|corp)\b\.?", "loose": r"\b(the|inc|ltd|limited|corp)\.?"}
 
 
 @F.pandas_udf(T.StringType())
@@ -80,7 +79,7 @@ def reason(name: Column) -> Column:
 def pii(text: Column) -> Column:
     """Labels found, in the order email, api_key, token."""
     found = [
-        F.when(text.rlike(r"(?U)[\w.-]+@[\w.-]+\.\w+"), "email"),
+        F.when(text.rlike(r"(?U)[\w\-.]+@[\w\-.]+\.\w+"), "email"),
         F.when(text.rlike("sk-|ghp_|hf_|nvapi-"), "api_key"),
         F.when(text.rlike("(?<![A-Za-z0-9])[A-Z0-9]{8}[A-Za-z0-9]{24,}"), "token"),
     ]
@@ -92,9 +91,9 @@ def acceptable(name: Column, confidence: Column) -> Column:
     return (confidence >= MIN_CONFIDENCE) & (reason(name) == "ok") & (F.size(pii(name)) == 0)
 
 
-def corrected_type(name: Column, proposed: Column) -> Column:
-    """The type that the reference map knows for the name, else the one proposed."""
-    known = F.create_map(*(F.lit(x) for pair in TYPE_OF.items() for x in pair))
+def corrected_type(name: Column, proposed: Column, known: dict[str, str] = TYPE_OF) -> Column:
+    """The type that the map knows for the lower-cased name, else the one proposed."""
+    known = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     return F.coalesce(F.try_element_at(known, F.lower(name)), proposed)
 
 

@@ -93,7 +93,7 @@ _REASON = (
     "CASE WHEN name = '' THEN 'empty' WHEN length(name) < 2 THEN 'too_short' WHEN length(name) > 100 THEN 'too_long' WHEN upper(name) IN ("
     + ", ".join(f"'{t}'" for t in names.TECHNICAL)
     + ") THEN 'ok' WHEN NOT regexp_matches(name, '[A-Za-z]') THEN 'no_letter' "
-    + " ".join(f"WHEN starts_with(lower(name), '{p}') THEN 'forbidden_prefix:{p}'" for p in ("/", "#", ".", "{", "<", "http", "api/"))
+    + " ".join(f"WHEN starts_with(lower(name), '{p}') THEN 'forbidden_prefix:{p}'" for p in (*"/#.{<", "http", "api/"))
     + r" WHEN regexp_matches(name, '(?i)\.py$|\.json$|\.env$|\.yaml$|\.md$|^/api/|^/health|^/v1/|^#|\d{4,}') THEN 'forbidden_pattern'"
     + r" WHEN NOT regexp_matches(name, '\p{Lu}') AND NOT regexp_matches(name, '\S\s+\S') THEN 'not_proper_noun' ELSE 'ok' END"
 )
@@ -114,13 +114,13 @@ def pii_detect(spark, d):
     return rows.distinct().select(F.md5("name").alias("id"), F.array_join(names.pii(F.col("name")), ",").alias("labels"))
 
 
-_TYPED = "t AS (SELECT name, type FROM (VALUES ('Docker', 'person'), ('Python', 'tool'), ('redis', 'concept'), ('Foo', 'gadget'), ('GitHub', 'organization'), ('Agent Zero', 'tool'), ('Flask', 'nonsense')) AS v(name, type) UNION ALL SELECT p_name, p_type FROM part)"
+_TYPED = "t AS (SELECT name, type FROM (VALUES ('Docker', 'person'), ('Python', 'tool'), ('redis', 'concept'), ('Foo', 'gadget'), ('GitHub', 'organization'), ('Flask', 'nonsense')) AS v(name, type) UNION ALL SELECT p_name, p_type FROM part)"
 _KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in names.TYPE_OF.items())
 
 
 @query(f"WITH {_TYPED}, k AS (SELECT * FROM (VALUES {_KNOWN}) AS v(low, known)), c AS (SELECT name, type, CASE WHEN type IN ({', '.join(repr(x) for x in names.ENTITY_TYPES)}) THEN type ELSE 'concept' END AS coerced FROM t) SELECT name, type, coalesce(known, coerced) AS final, coalesce(known, coerced) <> coerced AS corrected, count(*) AS n FROM c LEFT JOIN k ON lower(name) = low GROUP BY ALL")
 def type_correction(spark, d):
-    rows = spark.createDataFrame([("Docker", "person"), ("Python", "tool"), ("redis", "concept"), ("Foo", "gadget"), ("GitHub", "organization"), ("Agent Zero", "tool"), ("Flask", "nonsense")], "name string, type string")
+    rows = spark.createDataFrame([("Docker", "person"), ("Python", "tool"), ("redis", "concept"), ("Foo", "gadget"), ("GitHub", "organization"), ("Flask", "nonsense")], "name string, type string")
     rows = rows.unionByName(_read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")))
     coerced = names.coerced(F.col("type"), names.ENTITY_TYPES, "concept")
     final = names.corrected_type(F.col("name"), coerced)
@@ -135,12 +135,12 @@ def _forms(spark, d, mode):
     return _names(spark, d).where(~F.col("name").rlike(r"[^\x00-\x7F]")).distinct().select("name", names.canonical(F.col("name"), mode).alias("form"))
 
 
-@query(_canonical_sql(r"\b(inc|corp|corporation|ltd|limited|the)\b\.?"))
+@query(_canonical_sql(r"\b(the|inc|ltd|limited|corp|corporation)\b\.?"))
 def canonical_strict(spark, d):
     return _forms(spark, d, "strict")
 
 
-@query(_canonical_sql(r"\b(inc|corp|corporation|ltd|limited|the)\.?"))
+@query(_canonical_sql(r"\b(the|inc|ltd|limited|corp)\.?"))
 def canonical_loose(spark, d):
     return _forms(spark, d, "loose")
 
@@ -169,8 +169,8 @@ _ASKED = ("What is the {} thing?", "compare {}", "Tell me about {} please", "no
 
 @query(
     "WITH m AS (SELECT text FROM conversations UNION ALL SELECT replace(q, '{}', p_name) FROM part, (VALUES " + ", ".join(f"('{q}')" for q in _ASKED) + ") AS v(q)), u AS (SELECT DISTINCT text FROM m) SELECT md5(text) AS id, "
-    r"length(text) >= 15 AND regexp_matches(text, '(?i)\bwhat\b.*\b(is|are|was|were)\b|\bwho\b.*\b(is|are|was|were)\b|\bhow\b.*\b(do|does|did|to)\b|\bexplain\b|\bcompare\b|\btell me about\b|\brelationship between\b|\bdifference between\b') AS is_question, "
-    "contains(text, '```') OR contains(text, 'def ') OR contains(text, 'class ') OR contains(text, 'import ') OR contains(text, 'from ') AS has_code FROM u"
+    r"length(text) >= 15 AND (regexp_matches(text, '(?i)\b(what|who)\b.*\b(are|is|were|was)\b') OR regexp_matches(text, '(?i)\bhow\b.*\b(to|did|does|do)\b') OR regexp_matches(text, '(?i)\b(compare|explain|tell me about|(difference|relationship) between)\b')) AS is_question, "
+    "list_bool_or(list_transform(['import ', 'from ', 'class ', 'def ', '```'], lambda k: contains(text, k))) AS has_code FROM u"
 )
 def question_filter(spark, d):
     part = _read(spark, d, "part").select(F.explode(F.array(*(F.replace(F.lit(q), F.lit("{}"), F.col("p_name")) for q in _ASKED))).alias("text"))
@@ -308,7 +308,7 @@ def _mention_batch(spark, d):
     )
 
 
-_LOOSE = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(inc|corp|corporation|ltd|limited|the)\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+_LOOSE = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(the|inc|ltd|limited|corp)\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
 @query(
@@ -368,7 +368,7 @@ _VARIANTS = (
     "v AS (SELECT name, confidence, mention_count FROM e WHERE type = 'technology' UNION ALL SELECT 'The ' || name, confidence / 2, mention_count FROM e WHERE type = 'technology' "
     "UNION ALL SELECT name || ' Inc.', confidence / 3, mention_count + 1 FROM e WHERE type = 'technology' UNION ALL SELECT upper(name), confidence, 1 FROM e WHERE type = 'technology')"
 )
-_STRICT = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(inc|corp|corporation|ltd|limited|the)\\b\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+_STRICT = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(the|inc|ltd|limited|corp|corporation)\\b\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
 def _variants(spark, d):

@@ -66,7 +66,7 @@ def export_snapshot(g: Graph, path: str, exported_at: datetime, schema_version:
     for i, p in enumerate(parts):
         p.write.mode("overwrite").text(f"{path}/part={i + 1}")
     counts = [spark.read.text(f"{path}/part={i + 1}").count() for i in range(3)]
-    header = {"type": "graph_memory_export", "schema_version": schema_version, "exported_at": exported_at.isoformat(), "entity_count": counts[0], "relationship_count": counts[1], "memory_id_count": counts[2]}
+    header = {"type": "graph_snapshot", "schema_version": schema_version, "exported_at": exported_at.isoformat(), "entity_count": counts[0], "relationship_count": counts[1], "memory_id_count": counts[2]}
     body = spark.read.option("basePath", path).text([f"{path}/part={i}" for i in (1, 2, 3)])
     header["checksum"] = digest(header, body)
     spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
@@ -93,11 +93,18 @@ def bytes_verified(content: str) -> bool:
 
 
 def import_snapshot(g: Graph, path: str, mode: str = "merge") -> Graph:
-    """The graph after an import: later rows evict earlier ones by name or id; mode 'replace' starts from nothing."""
+    """The graph after an import: later rows evict earlier ones by name or id; mode 'replace' starts from nothing.
+
+    ``path``: a snapshot folder, or a one-file snapshot (``*.jsonl``) as a single machine writes it.
+    """
     spark = g.entities.sparkSession
-    if not verified(spark, path):
+    if path.endswith(".jsonl"):
+        whole, parts = bytes_verified(spark.read.text(path, wholetext=True).first().value), path
+    else:
+        whole, parts = verified(spark, path), [f"{path}/part={i}" for i in (1, 2, 3)]
+    if not whole:
         raise ValueError(f"checksum mismatch in {path}")
-    lines = spark.read.option("basePath", path).text([f"{path}/part={i}" for i in (1, 2, 3)]).select("value", F.monotonically_increasing_id().alias("seq"))
+    lines = spark.read.text(parts).select("value", F.monotonically_increasing_id().alias("seq"))
     if mode == "replace":
         g = Graph(*(df.limit(0) for df in (g.entities, g.relationships, g.memory_ids)))
     e, r, m = (_parsed(lines, k, ddl) for k, ddl in _KINDS.items())
