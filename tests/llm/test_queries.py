@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weft.llm import matroska, queries
+from weft.llm import queries
 
 
 @pytest.fixture(scope="module")
@@ -43,16 +43,6 @@ def test_query(spark, tables, name):
     assert sorted(map(key, got)) == sorted(key(dict(zip(cols, x, strict=True))) for x in r.fetchall())
 
 
-def test_packets_by_sql(spark, tables):
-    """All columns but the offset, which the frames themselves hold in the other tests."""
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tables}/documents.parquet/*.parquet')")
-    r = con.execute(matroska.PACKETS_SQL)
-    cols = [c[0] for c in r.description]
-    got = queries.op4_matroska_packets(spark, tables).select(*cols).collect()
-    assert sorted(map(str, (tuple(x) for x in got))) == sorted(map(str, r.fetchall()))
-
-
 def test_entry_lists_them():
     names = list(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= set(names)

@@ -150,3 +150,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(name), pa.array(score), pa.array(level)], ["doc_id", "license", "dice", "level"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, dice double, level string")
+
+
+def _template_rows() -> str:
+    rows = []
+    for name, text in NOTICES.items():
+        w = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        rows += sorted({(name, f"{a} {b}") for a, b in zip(w, w[1:], strict=False)})
+    for name, joined in BIGRAMS.items():
+        rows += sorted({(f"{name}#", g) for g in joined.split("|")})
+    return ", ".join(f"('{n}', '{g}')" for n, g in rows)
+
+
+def _split(rank: int, pattern: str) -> str:
+    return f"SELECT row, {rank} AS rank, generate_subscripts(parts, 1) AS part, unnest(parts) AS unit FROM (SELECT row, regexp_split_to_array(text, '{pattern}') AS parts FROM d)"
+
+
+SCAN_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {_template_rows()}) AS v(template, gram)), ts AS (SELECT template, count(*) AS size FROM t GROUP BY template),
+d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT row, 0 AS rank, 1 AS part, text AS unit FROM d UNION ALL {_split(1, "\\n[ \\t\\r\\v\\f]*\\n")} UNION ALL {_split(2, "\\n")} UNION ALL {_split(3, "[.!?][ \\t\\r\\v\\f\\n]|\\n")}),
+w AS (SELECT row, rank, part, regexp_extract_all(lower(unit), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM u),
+g AS (SELECT DISTINCT row, rank, part, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM w WHERE len(ws) > 1),
+n AS (SELECT row, rank, part, count(*) AS size FROM g GROUP BY ALL),
+m AS (SELECT row, rank, part, template, count(*) AS shared FROM g JOIN t ON t.gram = g.gram GROUP BY ALL),
+s AS (SELECT m.row, m.rank, split_part(m.template, '#', 1) AS license, 2 * shared / (n.size + ts.size) AS dice FROM m JOIN n ON n.row = m.row AND n.rank = m.rank AND n.part = m.part JOIN ts ON ts.template = m.template),
+b AS (SELECT row, license, round(max(dice), 6) AS dice, arg_min(rank, (-round(dice, 6), rank)) AS rank FROM s WHERE dice >= {THRESHOLD} GROUP BY row, license)
+SELECT doc_id, license, dice, CASE rank {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LEVELS))} END AS level FROM b JOIN d ON d.row = b.row
+"""

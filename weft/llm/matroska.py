@@ -327,14 +327,39 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, _PACKETS_DDL)
 
 
-#: The packets that ``mux`` lays down, from the texts alone; offsets are held by tests that cut the frames out again.
+def _steps(n: str, limits: list[int]) -> str:
+    """SQL: how many of the bytes, the limits of which are given, ``n`` takes."""
+    return "CASE " + " ".join(f"WHEN {n} < {limit} THEN {k}" for k, limit in enumerate(limits, 1)) + f" ELSE {len(limits) + 1} END"
+
+
+def _sql_vint(n: str) -> str:
+    return _steps(n, [(1 << 7 * k) - 1 for k in range(1, 6)])
+
+
+def _sql_bytes(n: str) -> str:
+    return _steps(n, [1 << 8 * k for k in range(1, 6)])
+
+
+#: The packets of the containers that ``mux`` writes, from the lengths of the lines alone.
 PACKETS_SQL = f"""
-WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL),
-x AS (SELECT doc_id, i, strlen(ls[i + 1]) AS n FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM l)),
-k AS (SELECT *, CASE WHEN n < 8 THEN 0 WHEN i % 4 = 2 AND n % 4 > 0 THEN 1 ELSE i % 4 END AS kind FROM x),
-f AS (SELECT *, unnest(range(0, CASE WHEN kind = 0 THEN 1 ELSE 4 END)) AS frame FROM k)
+WITH l AS (SELECT row_number() OVER () AS doc, doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc, doc_id, i, strlen(ls[i + 1]) AS n FROM (SELECT doc, doc_id, ls, unnest(range(0, len(ls))) AS i FROM l)),
+k AS (SELECT *, n // 4 AS step, CASE WHEN n < 8 THEN 0 WHEN i % 4 = 2 AND n % 4 > 0 THEN 1 ELSE i % 4 END AS kind FROM x),
+h AS (SELECT *, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 + 3 * (step // 255 + 1) WHEN 2 THEN 1 ELSE 3 + {_sql_vint("step")} END AS head FROM k),
+p AS (SELECT *, 4 + head + n AS payload, 1 + {_sql_vint("(4 + head + n)")} AS front FROM h),
+b AS (SELECT *, front + payload + 4 AS grouped, i // {CLUSTER} AS cluster FROM p),
+e AS (SELECT *, CASE WHEN kind = 3 THEN 1 + {_sql_vint("grouped")} + grouped ELSE front + payload END AS block, CASE WHEN kind = 3 THEN 1 + {_sql_vint("grouped")} ELSE 0 END + front + 4 + head AS inside FROM b),
+o AS (SELECT *, inside + coalesce(sum(block) OVER (PARTITION BY doc, cluster ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM e),
+c AS (SELECT doc, cluster, sum(block) AS blocks, {_sql_bytes(f"(cluster * {CLUSTER * LINE_MS})")} AS stamp FROM e GROUP BY doc, cluster),
+c2 AS (SELECT *, 2 + stamp + blocks AS body FROM c),
+c3 AS (SELECT *, 4 + {_sql_vint("body")} AS opening FROM c2),
+c4 AS (SELECT *, {len(_FRONT)} + coalesce(sum(opening + body) OVER (PARTITION BY doc ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c3),
+c5 AS (SELECT *, CASE WHEN cluster % 2 = 0 THEN 2 + 2 + stamp + 2 + 3 + 2 + {_sql_bytes("place")} ELSE 0 END AS cue_size FROM c4),
+s AS (SELECT doc, sum(opening + body) AS clusters, sum(cue_size) AS cues FROM c5 GROUP BY doc),
+s2 AS (SELECT doc, {len(_FRONT)} + clusters + 4 + {_sql_vint("cues")} + cues AS segment FROM s),
+f AS (SELECT o.*, {len(_HEADER)} + 4 + {_sql_vint("segment")} + place + opening + 2 + stamp + after AS base, unnest(range(0, CASE WHEN kind = 0 THEN 1 ELSE 4 END)) AS frame FROM o JOIN c5 ON c5.doc = o.doc AND c5.cluster = o.cluster JOIN s2 ON s2.doc = o.doc)
 SELECT doc_id, CAST(CASE WHEN kind = 0 THEN 1 ELSE 2 END AS BIGINT) AS track, CASE WHEN kind = 0 THEN 'S_TEXT/UTF8' ELSE 'A_PCM/INT/LIT' END AS codec,
-  CAST(i // {CLUSTER} AS BIGINT) AS cluster, CAST(i * {LINE_MS} AS BIGINT) AS timestamp_ms, CAST(CASE WHEN kind = 3 THEN {LINE_MS} END AS BIGINT) AS duration_ms, true AS keyframe,
-  CASE kind WHEN 0 THEN 'none' WHEN 1 THEN 'xiph' WHEN 2 THEN 'fixed' ELSE 'ebml' END AS lacing, CAST(frame AS BIGINT) AS frame,
-  CAST(CASE WHEN kind = 0 THEN n WHEN frame < 3 THEN n // 4 ELSE n - 3 * (n // 4) END AS BIGINT) AS size, (i // {CLUSTER}) % 2 = 0 AS cue, CAST(NULL AS VARCHAR) AS error FROM f
+  CAST(cluster AS BIGINT) AS cluster, CAST(i * {LINE_MS} AS BIGINT) AS timestamp_ms, CAST(CASE WHEN kind = 3 THEN {LINE_MS} END AS BIGINT) AS duration_ms, true AS keyframe,
+  CASE kind WHEN 0 THEN 'none' WHEN 1 THEN 'xiph' WHEN 2 THEN 'fixed' ELSE 'ebml' END AS lacing, CAST(frame AS BIGINT) AS frame, CAST(base + frame * step AS BIGINT) AS "offset",
+  CAST(CASE WHEN kind = 0 THEN n WHEN frame < 3 THEN step ELSE n - 3 * step END AS BIGINT) AS size, cluster % 2 = 0 AS cue, CAST(NULL AS VARCHAR) AS error FROM f
 """

@@ -54,4 +54,4 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_secret_scan, op4_matroska_packets, op5_quality_rules, quality_ablation, op6_url_filter, op7_license_scan, op8_sentencepiece, op9_simhash_near_dedup, op10_lexical_packing)}
 
-ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL, "op6_url_filter": urls.FILTER_SQL}
+ORACLES = {"op1_suffix_dedup": suffix.SPANS_SQL, "op4_matroska_packets": matroska.PACKETS_SQL, "op5_quality_rules": quality.LEDGER_SQL, "quality_ablation": quality.ABLATION_SQL, "op6_url_filter": urls.FILTER_SQL, "op7_license_scan": licenses.SCAN_SQL}
