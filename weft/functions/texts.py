@@ -89,11 +89,12 @@ def chunks(column: str, tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKEN
     size, lap = int(tokens * WORDS_PER_TOKEN), int(overlap * WORDS_PER_TOKEN)
     step = max(1, size - lap)
     trimmed = "regexp_replace({c}, '^[ \\\\t\\\\n\\\\r]+|[ \\\\t\\\\n\\\\r]+$', '')"
-    words = f"split({trimmed}, '[ \\\\t\\\\n\\\\r]+')"
+    # The one-element arrays bind the trimmed text and its words, so that either is computed once.
     return _sql(
         column,
-        f"CASE WHEN {{c}} IS NULL OR {trimmed} = '' THEN CAST(array() AS array<string>) WHEN size({words}) <= {size} THEN array({trimmed}) "
-        f"ELSE transform(sequence(0, CAST(ceil((size({words}) - {size}) / {step}) AS INT)), i -> array_join(slice({words}, i * {step} + 1, {size}), ' ')) END",
+        f"flatten(transform(array({trimmed}), t -> flatten(transform(array(split(t, '[ \\\\t\\\\n\\\\r]+')), w -> "
+        f"CASE WHEN t IS NULL OR t = '' THEN CAST(array() AS array<string>) WHEN size(w) <= {size} THEN array(t) "
+        f"ELSE transform(sequence(0, CAST(ceil((size(w) - {size}) / {step}) AS INT)), i -> array_join(slice(w, i * {step} + 1, {size}), ' ')) END))))",
     )
 
 

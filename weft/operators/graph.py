@@ -87,12 +87,12 @@ def relationships_of(edges: DataFrame, name: str, limit: int = 20) -> DataFrame:
 def neighbourhood(names: DataFrame, edges: DataFrame, per_entity: int, name_col: str = "name") -> DataFrame:
     """For every name its first ``per_entity`` edges, with ``other``, the endpoint that isn't the name.
 
-    Two equi-joins instead of a join on either end; a self-loop is in the first branch alone.
+    Edges are read once and listed under both ends (a self-loop once), for one equi-join instead of a join on either end.
     """
     n = names.select(F.col(name_col).alias("name")).distinct()
-    out = n.join(edges, n["name"] == edges["source_name"]).withColumn("other", F.col("target_name"))
-    back = n.join(edges.where("source_name <> target_name"), n["name"] == F.col("target_name")).withColumn("other", F.col("source_name"))
-    return top_by(out.unionByName(back), ["name"], [F.desc("confidence"), F.col("source_name"), F.col("target_name"), F.col("rel_type")], per_entity, "edge_rank")
+    ends = F.array(F.struct(F.col("source_name").alias("name"), F.col("target_name").alias("other")), F.struct(F.col("target_name").alias("name"), F.col("source_name").alias("other")))
+    listed = edges.select("*", F.explode(F.array_distinct(ends)).alias("end")).select("end.name", *edges.columns, "end.other")
+    return top_by(n.join(listed, "name"), ["name"], [F.desc("confidence"), F.col("source_name"), F.col("target_name"), F.col("rel_type")], per_entity, "edge_rank")
 
 
 def by_count(df: DataFrame, column: str) -> DataFrame:
