@@ -62,9 +62,14 @@ class Machine:
 
     def raw(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log-odds of each row; ``index``: places in ``terms`` of its features."""
-        add = lambda x: np.add.reduceat(np.concatenate([x, np.zeros((1, *x.shape[1:]), x.dtype)]), first[:-1], axis=0) * (np.diff(first) > 0).reshape(-1, *[1] * (x.ndim - 1)) if len(first) > 1 else np.zeros((0, *x.shape[1:]))
-        v = self.v[index]
-        return self.bias + add(self.w[index]) + 0.5 * (add(v) ** 2 - add(v**2)).sum(1)
+        if len(first) < 2:
+            return np.zeros(0)
+        some = np.diff(first) > 0
+        add = lambda x: np.add.reduceat(np.append(x, 0.0), first[:-1]) * some
+        out = self.bias + add(self.w[index]) - 0.5 * add((self.v**2).sum(1)[index])
+        for f in range(self.v.shape[1]):  # one factor at a time keeps work arrays small
+            out += 0.5 * add(self.v[:, f][index]) ** 2
+        return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return logistic(self.raw(*self.look_up(*terms_of(texts))))
@@ -114,13 +119,14 @@ def train(terms: np.ndarray, first: np.ndarray, y: np.ndarray, held: np.ndarray)
     first_m, second_m = [np.zeros_like(m.w), np.zeros_like(m.v), 0.0], [np.zeros_like(m.w), np.zeros_like(m.v), 0.0]
     total = lambda x: np.add.reduceat(x, np.minimum(starts, len(x) - 1), axis=0)  # noqa: E731  every kept term has a row
     for step in range(1, STEPS + 1):
-        v = m.v[index]
-        sums = np.stack([np.bincount(rows, v[:, f], len(y)) for f in range(FACTORS)], 1)
-        squares = np.bincount(rows, (v**2).sum(1), len(y))
+        sums = np.stack([np.bincount(rows, m.v[:, f][index], len(y)) for f in range(FACTORS)], 1)
+        squares = np.bincount(rows, (m.v**2).sum(1)[index], len(y))
         raw = m.bias + np.bincount(rows, m.w[index], len(y)) + 0.5 * ((sums**2).sum(1) - squares)
         g = (logistic(raw) - y) * held_out_weight
         gr = g[row_by_term]
-        grads = [total(gr), total(gr[:, None] * sums[row_by_term]) - total(gr)[:, None] * m.v + SHRINK * m.v, g.sum()]
+        own = total(gr)
+        crossed = np.stack([total(gr * sums[:, f][row_by_term]) for f in range(FACTORS)], 1)
+        grads = [own, crossed - own[:, None] * m.v + SHRINK * m.v, g.sum()]
         for k, grad in enumerate(grads):
             first_m[k] = 0.9 * first_m[k] + 0.1 * grad
             second_m[k] = 0.999 * second_m[k] + 0.001 * grad**2
