@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import names, texts
@@ -299,8 +299,7 @@ _BATCH = "b AS (SELECT name, row_number() OVER (ORDER BY conv_id, turn, name) AS
 
 def _mention_batch(spark, d):
     m = fixtures.mentions(spark, d).distinct()
-    order = Window.orderBy("conv_id", "turn", "name")
-    seq = F.row_number().over(order)
+    seq = F.col("conv_id") * 100_000 + F.col("turn")  # records of one turn are told apart by name
     return m.select(
         "name", F.lit("concept").alias("type"), F.lit("general").alias("domain"), (F.lit(0.3) + (F.col("conv_id") % 7) / F.lit(10.0)).cast("double").alias("confidence"),
         F.when(F.col("turn") % 2 == 0, F.concat(F.lit("turn "), F.col("turn").cast("string"))).otherwise("").alias("description"), F.array().cast("array<string>").alias("aliases"), F.col("conv_id").cast("string").alias("session_id"),
