@@ -365,6 +365,21 @@ def test_packing_equals_brute_force(spark, shard):
     assert covered == Counter((i, w) for i, t in rows if i is not None for w in range(len((t or "").split())))
 
 
+def test_packing_searches_all_shards(spark, monkeypatch):
+    """Windows are those of one index, however many shards hold it and however short their answers are; an exact copy is found among more than 2,048 documents."""
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, rng.randrange(1, 140), 60)) for i in range(150)]
+    key = sorted(brute.packed(rows, 100, lambda i: 0))
+    for seeds, head in ((256, 512), (7, 1)):
+        monkeypatch.setattr(packing, "SEEDS", seeds)
+        monkeypatch.setattr(packing, "HEAD", head)
+        assert windows(packing.pack(docs(spark, rows).repartition(5), window=100)) == key
+    monkeypatch.undo()
+    rows = [(i, f"{sentence(rng, 3, 9)} only{i % 1500} again{i % 1500}") for i in range(3000)]
+    got = windows(packing.pack(docs(spark, rows).repartition(4), window=10))
+    assert sorted(sorted(i for i, _, _ in w) for w in got) == [[i, i + 1500] for i in range(1500)]
+
+
 def test_packing_odd_rows(spark):
     d = odd(spark)
     covered = Counter()

@@ -1,11 +1,17 @@
 """Lexical retrieval packing: windows filled with a seed document and its unused BM25 neighbours.
 
-The corpus is split into shards of about ``SHARD`` documents by a hash of doc_id, so shards grow in
-number, not in size.  Each has an inverted index; document frequencies, document count and mean
-length are those of the whole corpus.  Inside a shard the unused document with the smallest doc_id is
-the next seed; the index scores all documents against all of its terms, and the unused ones, best
-first (ties: smaller doc_id, then length, then hash of the text), fill the window as far as they fit.  A window closes when no scored
-document fits.
+The index is split into shards, the search is not.  The unused document with the smallest doc_id is
+the next seed; every shard scores all of its documents against all of the seed's terms, the ranked
+lists are merged, and the unused documents, best first (ties: smaller doc_id, then length, then hash
+of the text), fill the window as far as they fit.  A window closes when no scored document fits.
+
+Seeds are asked for in batches.  A shard answers with the head of its ranking, once for each cap on
+length, and with the score down to which each head is whole.  The driver resolves the seeds in order;
+where the heads end before the window is settled, it ranks that seed against all shards in full, so
+the windows are those of a search without shards.  Work grows with seeds times postings.
+
+With ``shard_docs`` documents are dealt by a hash of doc_id into parts of about that many, each packed
+alone: cheaper, but neighbours in other parts are never found.  Nothing here uses it by default.
 
 Lengths are in words.  A document longer than a window fills windows of its own, and what is left
 over is packed like a document.  Every word of every document lands in exactly one window.
@@ -18,15 +24,21 @@ itself; documents without a common term are never neighbours, so a window may st
 
 from __future__ import annotations
 
+import shutil
+import uuid
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import _shared, _text
 
 WINDOW = 4096
-SHARD = 2048
+SEEDS = 256  # asked for at once, at most
+HEAD = 512  # entries of a ranking for each cap, over all shards
 K1, B = 1.2, 0.75
 DF_BITS = 22
 _CHUNK = 1 << 16
@@ -84,13 +96,17 @@ def frequencies(terms: DataFrame) -> np.ndarray:
     return out
 
 
+def _weights(n_words: np.ndarray, doc: np.ndarray, terms: np.ndarray, tfs: np.ndarray, df: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
+    d = df[bucket(terms)]
+    idf = np.log1p((n_docs - np.minimum(d, n_docs) + 0.5) / (d + 0.5))
+    return idf * tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * n_words[doc] / mean))
+
+
 def pack_shard(ids: np.ndarray, n_words: np.ndarray, first: np.ndarray, terms: np.ndarray, tfs: np.ndarray, df: np.ndarray, n_docs: int, mean: float, window: int = WINDOW) -> list[tuple[list[int], list[int], list[int]]]:
     """The windows of one shard: doc_ids, starts and lengths. Documents come in order of doc_id; ``first``: where each one's terms begin."""
     n = len(ids)
     doc = np.repeat(np.arange(n), np.diff(first))
-    d = df[bucket(terms)]
-    idf = np.log1p((n_docs - np.minimum(d, n_docs) + 0.5) / (d + 0.5))
-    weight = idf * tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * n_words[doc] / mean))
+    weight = _weights(n_words, doc, terms, tfs, df, n_docs, mean)
     order = np.argsort(terms, kind="stable")
     by_term, posting, weight = terms[order], doc[order], weight[order]
     begin = np.flatnonzero(np.append(True, by_term[1:] != by_term[:-1])) if len(by_term) else np.zeros(0, np.int64)
@@ -125,14 +141,213 @@ def pack_shard(ids: np.ndarray, n_words: np.ndarray, first: np.ndarray, terms: n
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = SHARD) -> DataFrame:
-    """shard, window (its number in the shard), and the pieces it holds: doc_ids, starts, lengths; n_words in all."""
+def _save(at: Path, **arrays: np.ndarray) -> None:
+    for name, x in arrays.items():
+        np.save(at / f"{name}.npy", x)
+
+
+def _load(at: str, name: str) -> np.ndarray:
+    return np.load(Path(at) / f"{name}.npy", mmap_mode="r")
+
+
+def _invert(at: Path, doc: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
+    order = np.argsort(terms, kind="stable")
+    vocab, begin = np.unique(terms[order], return_index=True)
+    _save(at, posting=doc[order].astype(np.int32), weight=weight[order], vocab=vocab, begin=np.append(begin, len(order)))
+
+
+def _index(root: str, df, n_docs: int, mean: float, window: int):
+    """For mapInArrow: the documents of a task become one shard of the index, in files of its own."""
+
+    def run(batches):
+        t = _text.gather(batches)
+        if t is None:
+            return
+        t = t.sort_by([("doc_id", "ascending"), ("n_words", "ascending"), ("th", "ascending")]).combine_chunks()
+        ids, n_words, th = (t.column(c).to_numpy() for c in ("doc_id", "n_words", "th"))
+        lists = t.column("terms").combine_chunks()
+        first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+        terms, tfs = lists.flatten().to_numpy(), t.column("tfs").combine_chunks().flatten().to_numpy()
+        doc = np.repeat(np.arange(len(ids)), np.diff(first))
+        at = Path(root) / uuid.uuid4().hex
+        at.mkdir(parents=True)
+        _save(at, terms=terms, first=first, left=n_words % window)
+        _invert(at, doc, terms, _weights(n_words, doc, terms, tfs, df.value, n_docs, mean))
+        yield pa.RecordBatch.from_arrays([pa.array([str(at)]), *(pa.array([x.astype(np.int64).tobytes()]) for x in (ids, n_words, th))], ["at", "ids", "n_words", "th"])
+
+    return run
+
+
+def _drop_used(shard: tuple[str, np.ndarray]) -> None:
+    """Takes the postings of used documents out of a shard."""
+    at, free = shard
+    posting, begin = _load(at, "posting"), _load(at, "begin")
+    stays = np.unpackbits(free, count=len(_load(at, "left"))).astype(bool)[posting]
+    terms = np.repeat(_load(at, "vocab"), np.diff(begin))[stays]
+    new = Path(at) / f"new-{uuid.uuid4().hex}"
+    new.mkdir()
+    _invert(new, posting[stays], terms, _load(at, "weight")[stays])
+    for p in new.iterdir():
+        p.replace(Path(at) / p.name)
+    new.rmdir()
+
+
+def _caps(window: int) -> np.ndarray:
+    return np.array([*(1 << i for i in range((window - 1).bit_length())), window])
+
+
+def near(at: str, free: np.ndarray, asked: list[tuple[np.ndarray, int]], caps: np.ndarray, head: int) -> tuple[np.ndarray, ...]:
+    """For each seed (terms, room) and cap: the best free documents of the shard that are no longer than the cap.
+
+    Seed, cap, document and score of each, and by seed and cap the score down to which none is missing (0: none at all).
+    """
+    posting, weight, vocab, begin, left = (_load(at, n) for n in ("posting", "weight", "vocab", "begin", "left"))
+    left, vocab, begin = np.asarray(left), np.asarray(vocab), np.asarray(begin)
+    ok = np.flatnonzero(np.unpackbits(free, count=len(left)))
+    within = [ok[left[ok] <= c] for c in caps]
+    cuts, found = np.zeros((len(asked), len(caps))), []
+    for q, (terms, room) in enumerate(asked):
+        if not len(vocab):
+            break
+        t = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
+        spans = [slice(begin[i], begin[i + 1]) for i in t[vocab[t] == terms]]
+        if not spans:
+            continue
+        raw = np.bincount(np.concatenate([posting[s] for s in spans]), np.concatenate([weight[s] for s in spans]), minlength=len(left))
+        score = raw.round(9)
+        for c in range(int(np.searchsorted(caps, room)) + 1):
+            docs = within[c]
+            if len(docs) > head:
+                cut = np.partition(score[docs], len(docs) - head)[len(docs) - head]
+                cuts[q, c] = cut
+                docs = docs[score[docs] >= cut]
+            docs = docs[raw[docs] > 0]
+            found.append((np.full(len(docs), q), np.full(len(docs), c), docs, score[docs]))
+    return (*(np.concatenate(x) if found else np.zeros(0, kind) for x, kind in zip(zip(*found, strict=True) if found else [()] * 4, (int, int, int, float), strict=True)), cuts)
+
+
+class _Corpus:
+    """The state of a packing: documents by rank (their order as seeds), what is left of each, which are free, and the shards that hold them."""
+
+    def __init__(self, spark, rows, window: int):
+        self.sc, self.window, self.caps = spark.sparkContext, window, _caps(window)
+        self.at = [r["at"] for r in rows]
+        ids, n_words, th = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows] or [np.zeros(0, np.int64)]) for c in ("ids", "n_words", "th"))
+        self.bounds = np.cumsum([0, *(len(r["ids"]) // 8 for r in rows)])
+        self.place = np.lexsort((th, n_words, ids))  # by rank: the place among all shards' documents
+        self.rank = np.empty_like(self.place)
+        self.rank[self.place] = np.arange(len(ids))
+        self.ids, self.n_words = ids[self.place], n_words[self.place]
+        self.left = self.n_words % window
+        self.free = self.left > 0
+        self.indexed = max(1, len(ids))
+        self.head = max(4, HEAD // max(1, len(rows)))
+        self.full = 0  # seeds ranked in full
+
+    def shards(self):
+        free = self.free[self.rank]
+        return [(at, np.packbits(free[a:b])) for at, a, b in zip(self.at, self.bounds, self.bounds[1:], strict=False)]
+
+    def terms(self, doc: int) -> np.ndarray:
+        shard = int(np.searchsorted(self.bounds, self.place[doc], "right")) - 1
+        first, k = _load(self.at[shard], "first"), self.place[doc] - self.bounds[shard]
+        return np.array(_load(self.at[shard], "terms")[first[k] : first[k + 1]])
+
+    def merged(self, answers, n: int) -> list[list[tuple[np.ndarray, bool]]]:
+        """By seed and cap: documents best first, as far as all shards' heads are whole, and whether more may follow."""
+        cut = np.max([a[4] for a in answers], axis=0)
+        q, c, doc, score = (np.concatenate([a[i] for a in answers]) for i in range(4))
+        doc = self.rank[doc + np.repeat(self.bounds[:-1], [len(a[2]) for a in answers])]
+        sure = score >= cut[q, c]
+        q, c, doc, score = q[sure], c[sure], doc[sure], score[sure]
+        order = np.lexsort((doc, -score, c, q))
+        key, doc = (q * len(self.caps) + c)[order], doc[order]
+        ends = np.searchsorted(key, np.arange(n * len(self.caps) + 1))
+        return [[(doc[ends[i * len(self.caps) + j] : ends[i * len(self.caps) + j + 1]], cut[i, j] > 0) for j in range(len(self.caps))] for i in range(n)]
+
+    def ask(self, seeds: np.ndarray):
+        if self.free.sum() * 2 < self.indexed:
+            self.sc.parallelize(self.shards(), len(self.at)).foreach(_drop_used)
+            self.indexed = max(1, int(self.free.sum()))
+        asked = self.sc.broadcast([(self.terms(s), self.window - int(self.left[s])) for s in seeds])
+        caps, head = self.caps, self.head
+        answers = self.sc.parallelize(self.shards(), len(self.at)).map(lambda x: near(x[0], x[1], asked.value, caps, head)).collect()
+        asked.destroy()
+        return self.merged(answers, len(seeds))
+
+    def fill(self, seed: int, lists) -> list[int]:
+        self.free[seed] = False
+        chosen, room = [seed], self.window - int(self.left[seed])
+        while room:
+            docs, more = lists[int(np.searchsorted(self.caps, room))]
+            docs = docs[self.free[docs] & (self.left[docs] <= room)]
+            if not len(docs):
+                if not more:
+                    break
+                self.full += 1
+                asked = [(self.terms(seed), room)]
+                lists = self.merged([near(at, free, asked, self.caps, len(self.ids)) for at, free in self.shards()], 1)[0]
+                continue
+            chosen.append(int(docs[0]))
+            room -= int(self.left[docs[0]])
+            self.free[docs[0]] = False
+        return chosen
+
+    def windows(self):
+        """doc_ids, starts and lengths of all windows."""
+        for i in np.flatnonzero(self.n_words >= self.window):
+            yield from (([int(self.ids[i])], [s], [self.window]) for s in range(0, int(self.n_words[i]) - self.window + 1, self.window))
+        start = self.n_words - self.left
+        while len(rest := np.flatnonzero(self.free)):
+            seeds = rest[: min(SEEDS, max(16, len(rest) // 64))]
+            for seed, lists in zip(seeds, self.ask(seeds), strict=True):
+                if self.free[seed]:
+                    chosen = self.fill(seed, lists)
+                    yield self.ids[chosen].tolist(), start[chosen].tolist(), self.left[chosen].tolist()
+
+
+def _batch(shard: int, at: int, found: list) -> pa.RecordBatch:
+    """Windows of a shard, numbered from ``at``."""
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard)), pa.array(np.arange(at, at + len(found))), *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(3)), pa.array([sum(f[2]) for f in found], pa.int64())], ["shard", "window", "doc_ids", "starts", "lengths", "n_words"])
+
+
+def _pack_corpus(spark, terms: DataFrame, df, n_docs: int, mean: float, window: int) -> DataFrame:
+    base = Path(_shared.folder(spark).removeprefix("file://"))
+    root, out = base / f"lexical-index-{uuid.uuid4().hex}", base / f"packed-{uuid.uuid4().hex}"
+    out.mkdir(parents=True)
+    try:
+        rows = terms.mapInArrow(_index(str(root), df, n_docs, mean, window), "at string, ids binary, n_words binary, th binary").collect()
+        found, done = [], 0
+
+        def flush():
+            nonlocal found, done
+            pq.write_table(pa.Table.from_batches([_batch(0, done, found)]), out / f"part-{done:012d}.parquet")
+            done += len(found)
+            found = []
+
+        for w in _Corpus(spark, rows, window).windows():
+            found.append(w)
+            if len(found) == 4096:
+                flush()
+        flush()
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+    return spark.read.schema(_PACKED).parquet(f"file://{out}")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int | None = None) -> DataFrame:
+    """shard, window (its number in the shard), and the pieces it holds: doc_ids, starts, lengths; n_words in all.
+
+    Neighbours come from the whole corpus, as shard 0; with ``shard_docs`` from a part of about that many documents.
+    """
     spark = docs.sparkSession
     _shared.ship(spark)
     terms = _shared.table(term_table(docs, id_col, text_col), "terms")
     n_docs, total = terms.agg(F.count("*"), F.sum("n_words")).first()
     mean = (total or 0) / max(n_docs, 1)
     df = spark.sparkContext.broadcast(frequencies(terms))
+    if shard_docs is None:
+        return _pack_corpus(spark, terms, df, n_docs, mean, window)
     shards = max(1, -(-n_docs // shard_docs))
 
     def run(batches):
@@ -147,6 +362,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             lists = part.column("terms").combine_chunks()
             first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             found = pack_shard(ids[a:b], n_words[a:b], first, lists.flatten().to_numpy(), part.column("tfs").combine_chunks().flatten().to_numpy(), df.value, n_docs, mean, window)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard[a])), pa.array(np.arange(len(found))), *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(3)), pa.array([sum(f[2]) for f in found], pa.int64())], ["shard", "window", "doc_ids", "starts", "lengths", "n_words"])
+            yield _batch(shard[a], 0, found)
 
     return terms.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long")).repartition("shard").mapInArrow(run, _PACKED)
