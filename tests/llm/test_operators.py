@@ -248,6 +248,37 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).count() == 0 and licenses.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_licenses_inside_longer_texts(spark):
+    """A licence of several paragraphs, or a notice over several lines, is found between other text; the score is the best of all runs."""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    rng = random.Random(17)
+    front, back = "\n".join(sentence(rng, 40) for _ in range(9)), "\n\n".join(sentence(rng, 80) for _ in range(9))
+    rows = [(1, f"{front}\n\n{mit}\n\n{back}"), (2, f"{mit}\n{back}"), (3, f"{front}\nReleased under\nthe MIT License.\n{front}"), (4, f"{front}\n{mit[:300]}\n{back}")]
+    got = {(r.doc_id, r.license): (r.dice, r.level) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert {*got} == {(1, "MIT"), (2, "MIT"), (3, "MIT")} and {level for _, level in got.values()} == {"run"}
+    assert got[3, "MIT"][0] == 1.0
+    for _ in range(200):  # runs cut by hand
+        pieces = [[rng.randrange(6) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 9))]
+        words = [x for p in pieces for x in p]
+        template = {(rng.randrange(6), rng.randrange(6)) for _ in range(5)}
+        best = 0.0
+        for a in range(len(pieces)):
+            for b in range(a, len(pieces)):
+                run = [x for p in pieces[a : b + 1] for x in p]
+                own = set(zip(run, run[1:], strict=False))
+                best = max(best, 2 * len(own & template) / (len(own) + len(template)))
+        score = licenses._best_run(list(zip(words, words[1:], strict=False)), np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]), template, 0.6)
+        assert score == best if best >= 0.6 else score < 0.6
+
+
 # 8
 
 

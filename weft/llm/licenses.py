@@ -1,10 +1,13 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-Each text is compared as a whole, by paragraph, by line and by sentence.  Words are folded (case and
+Each text is compared as a whole, by paragraph, by line, by sentence, and for licences that none of
+these carries by runs of adjoining sentences and lines (so by runs of paragraphs, too).  Words are folded (case and
 punctuation gone); a unit's set of distinct word bigrams A and a template's B score
 ``2 |A and B| / (|A| + |B|)``.  Since no score exceeds ``2 min / (|A| + |B|)``, a template is a
 candidate only for units whose size lies within ``[|B| t / (2 - t), |B| (2 - t) / t]`` for threshold t;
-units without a bigram of any template are never measured.
+units without a bigram of any template are never measured.  A match shares at least ``|B| t / (2 - t)``
+bigrams with the template, so runs are formed only in texts that have so many, and begin and end at
+pieces that share one: others only lower the score.
 
 Defined cases: null and empty texts match nothing; a null doc_id is scanned and reported as null;
 repeated rows are each reported; of the units of a document that match a licence the best score is
@@ -25,6 +28,7 @@ from weft.llm.license_bigrams import BIGRAMS
 
 THRESHOLD = 0.8
 LEVELS = ("document", "paragraph", "line", "sentence")
+RUN = "run"
 
 #: One-line notices. The name before '#' is the licence; a licence may have several.
 NOTICES = {
@@ -135,7 +139,59 @@ def matches(texts: pa.Array, threshold: float = THRESHOLD) -> list[tuple[int, st
             mine = (-round(float(score[j]), 6), rank, int(i[j]))
             if k not in best or mine < best[k]:
                 best[k] = mine
-    return [(r, name, -s, LEVELS[rank]) for (r, name), (s, rank, _) in sorted(best.items())]
+    runs = _runs(data, offs, w, gram, known, best, threshold)
+    return sorted([(r, name, -s, LEVELS[rank]) for (r, name), (s, rank, _) in best.items()] + [(r, name, s, RUN) for (r, name), s in runs.items()])
+
+
+def _runs(data: np.ndarray, offs: np.ndarray, w, gram: np.ndarray, known: np.ndarray, best: dict, threshold: float) -> dict[tuple[int, str], float]:
+    """The best score over runs of adjoining pieces, for each row and licence that no single unit matches."""
+    names, sizes, pairs, owner = templates()
+    of = np.searchsorted(offs, w.start, "right") - 1
+    at = np.flatnonzero(known & (of[1:] == of[:-1]))
+    if not len(at):
+        return {}
+    seen = np.unique(np.stack([of[at].astype(np.uint64), gram[at]]), axis=1)
+    left, right = np.searchsorted(pairs, seen[1], "left"), np.searchsorted(pairs, seen[1], "right")
+    count = right - left
+    which = owner[np.arange(count.sum()) + np.repeat(left - np.cumsum(count) + count, count)]
+    key, shared = np.unique(np.repeat(seen[0].astype(np.int64), count) * len(sizes) + which, return_counts=True)
+    row, t = key // len(sizes), key % len(sizes)
+    found: dict[tuple[int, str], float] = {}
+    piece = None
+    for r, i in zip(row[shared >= sizes[t] * threshold / (2 - threshold) - 1e-9], t[shared >= sizes[t] * threshold / (2 - threshold) - 1e-9], strict=True):
+        if (int(r), names[i]) in best:
+            continue
+        if piece is None:
+            piece = np.searchsorted(_breaks(data, offs, "sentence"), w.start, "right")
+        a, b = np.searchsorted(of, [r, r + 1])
+        score = _best_run(gram[a : b - 1].tolist(), piece[a:b], set(pairs[owner == i].tolist()), threshold)
+        if score >= threshold:
+            k = (int(r), names[i])
+            found[k] = max(found.get(k, 0.0), round(score, 6))
+    return found
+
+
+def _best_run(gram: list[int], piece: np.ndarray, template: set[int], threshold: float) -> float:
+    """gram: of each word but the last with the next; piece: of each word."""
+    _, first = np.unique(piece, return_index=True)
+    ends = np.append(first[1:], len(piece))
+    hit = np.array([*(g in template for g in gram), False])
+    touched = np.logical_or.reduceat(hit | np.append(False, hit[:-1]), first)
+    most, best = len(template) * (2 - threshold) / threshold, 0.0
+    places = np.flatnonzero(touched)
+    for k, a in enumerate(places):
+        own: set[int] = set()
+        shared, at = 0, int(first[a])
+        for b in places[k:]:
+            for g in gram[at : int(ends[b]) - 1]:
+                if g not in own:
+                    own.add(g)
+                    shared += g in template
+            at = max(at, int(ends[b]) - 1)
+            if len(own) > most + 1e-9:
+                break
+            best = max(best, 2 * shared / (len(own) + len(template)))
+    return best
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
