@@ -78,12 +78,13 @@ _NAMES = "n AS (SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM
 _SQUEEZED = "trim(regexp_replace(name, '[ \\t\\n\\r\\v\\f]+', ' ', 'g'))"
 
 
-def _names(spark, d):
+def _names(spark, d, whole=False):
+    """whole: the texts of documents and conversations in full instead of their beginnings."""
     part, docs = _read(spark, d, "part"), _read(spark, d, "documents")
     first = F.split("text", "[^A-Za-z]+")[0]
     p = part.select(F.explode(F.array(F.col("p_name"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)")), F.concat("p_brand", F.lit(" Inc.")), F.concat(F.lit("The "), "p_type", F.lit("  Limited")))).alias("name"))
     rest = [_read(spark, d, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("region", "r_name"), ("nation", "n_name"))]
-    rest += [_read(spark, d, "conversations").select(first.alias("name")).distinct(), docs.select(F.substring("text", 1, 120).alias("name"))]
+    rest += [_read(spark, d, "conversations").select((F.col("text") if whole else first).alias("name")).distinct(), docs.select((F.col("text") if whole else F.substring("text", 1, 120)).alias("name"))]
     for x in rest:
         p = p.unionByName(x)
     return p
@@ -100,16 +101,16 @@ _REASON = (
 
 
 @query(f"WITH {_NAMES}, q AS (SELECT DISTINCT {_SQUEEZED} AS name FROM n) SELECT name, {_REASON} AS reason FROM q")
-def name_validation(spark, d):
-    return names.normalize(_names(spark, d), "name").distinct().select("name", names.reason(F.col("name")).alias("reason"))
+def name_validation(spark, d, whole=False):
+    return names.normalize(_names(spark, d, whole), "name").distinct().select("name", names.reason(F.col("name")).alias("reason"))
 
 
 @query(
     f"WITH {_NAMES}, l AS (SELECT name FROM n UNION ALL SELECT text FROM documents UNION ALL SELECT upper(md5(name)) FROM n UNION ALL SELECT 'sk-' || name FROM n), q AS (SELECT DISTINCT name FROM l) SELECT md5(name) AS id, "
     r"array_to_string(list_filter([CASE WHEN regexp_matches(name, '[\w.\-]+@[\w.\-]+\.\w+') THEN 'email' END, CASE WHEN regexp_matches(name, 'sk-|ghp_|hf_|nvapi-') THEN 'api_key' END, CASE WHEN regexp_matches(name, '(^|[^A-Za-z0-9])[A-Z0-9]{8}[A-Za-z0-9]{24,}') THEN 'token' END], lambda x: x IS NOT NULL), ',') AS labels FROM q"
 )
-def pii_detect(spark, d):
-    n = _names(spark, d)
+def pii_detect(spark, d, whole=False):
+    n = _names(spark, d, whole)
     rows = n.unionByName(_read(spark, d, "documents").select(F.col("text").alias("name"))).unionByName(n.select(F.upper(F.md5("name")).alias("name"))).unionByName(n.select(F.concat(F.lit("sk-"), "name").alias("name")))
     return rows.distinct().select(F.md5("name").alias("id"), F.array_join(names.pii(F.col("name")), ",").alias("labels"))
 
@@ -145,6 +146,27 @@ def canonical_loose(spark, d):
     return _forms(spark, d, "loose")
 
 
+@query()
+def canonical_strict_all(spark, d):
+    """No SQL, as for the other three: whole texts and names with any characters. Held against plain Python."""
+    return _names(spark, d, True).distinct().select("name", names.canonical(F.col("name"), "strict").alias("form"))
+
+
+@query()
+def canonical_loose_all(spark, d):
+    return _names(spark, d, True).distinct().select("name", names.canonical(F.col("name"), "loose").alias("form"))
+
+
+@query()
+def name_validation_all(spark, d):
+    return name_validation(spark, d, True)
+
+
+@query()
+def pii_detect_all(spark, d):
+    return pii_detect(spark, d, True)
+
+
 _STOP = ", ".join(f"'{w}'" for w in texts.STOPWORDS)
 
 
