@@ -392,19 +392,22 @@ _VARIANTS = (
 _STRICT = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(the|inc|ltd|limited|corp|corporation)\\b\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
-def _variants(spark, d):
-    e = fixtures.entities(spark, d).where("type = 'technology'")
+def _variants(spark, d, every=False):
+    e = fixtures.entities(spark, d)
+    e = e if every else e.where("type = 'technology'")
     forms = [(F.col("name"), F.col("confidence"), F.col("mention_count")), (F.concat(F.lit("The "), "name"), F.col("confidence") / 2, F.col("mention_count")), (F.concat("name", F.lit(" Inc.")), F.col("confidence") / 3, F.col("mention_count") + 1), (F.upper("name"), F.col("confidence"), F.lit(1).cast("long"))]
     out = None
-    for n, c, m in forms:
-        one = e.withColumns({"name": n, "confidence": c, "mention_count": m})
+    for i, (n, c, m) in enumerate(forms):
+        one = e.where(F.upper("name") != F.col("name")) if every and i == 3 else e  # a name in upper case is there already
+        one = one.withColumns({"name": n, "confidence": c, "mention_count": m})
         out = one if out is None else out.unionByName(one)
     return out.withColumns({"entity_id": names.entity_id(F.col("name")), "canonical_name": F.lit(None).cast("string")})
 
 
-def _variant_graph(spark, d):
-    e = _variants(spark, d)
-    r = fixtures.relationships(spark, d).where("rel_type = 'uses'")
+def _variant_graph(spark, d, every=False):
+    e = _variants(spark, d, every)
+    r = fixtures.relationships(spark, d)
+    r = r if every else r.where("rel_type = 'uses'")
     r = r.unionByName(r.withColumns({"target_name": F.concat("target_name", F.lit(" Inc.")), "confidence": F.col("confidence") / 2})).unionByName(r.withColumns({"target_name": F.upper("target_name"), "rel_type": F.lit("owns")}))
     return graph.Graph(e, r, e.select("entity_id", F.lit("m").alias("memory_id")))
 
@@ -413,16 +416,34 @@ _DUPES = f"{_VARIANTS}, p AS (SELECT *, {_STRICT.format('name')} AS form FROM v)
 
 
 @query(_WITH + f", {_DUPES} SELECT prime AS name, CAST(sum(mention_count) AS BIGINT) AS mention_count, round(max(confidence), 6) AS confidence, coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE name <> prime), '') AS aliases FROM w GROUP BY prime")
-def dedup_canonical(spark, d):
-    return dream.dedup(_variant_graph(spark, d)).entities.select("name", "mention_count", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", "|").alias("aliases"))
+def dedup_canonical(spark, d, every=False):
+    return dream.dedup(_variant_graph(spark, d, every)).entities.select("name", "mention_count", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", "|").alias("aliases"))
 
 
 @query(
     _WITH + f", {_DUPES}, u AS (SELECT source_name, target_name, rel_type, confidence FROM r WHERE rel_type = 'uses' UNION ALL SELECT source_name, target_name || ' Inc.', rel_type, confidence / 2 FROM r WHERE rel_type = 'uses' UNION ALL SELECT source_name, upper(target_name), 'owns', confidence FROM r WHERE rel_type = 'uses') "
     "SELECT source_name, coalesce(prime, target_name) AS target_name, rel_type, round(max(u.confidence), 6) AS confidence FROM u LEFT JOIN w ON w.name = u.target_name GROUP BY ALL"
 )
-def dedup_edges(spark, d):
-    return dream.dedup(_variant_graph(spark, d)).relationships.select("source_name", "target_name", "rel_type", F.round("confidence", 6).alias("confidence"))
+def dedup_edges(spark, d, every=False):
+    return dream.dedup(_variant_graph(spark, d, every)).relationships.select("source_name", "target_name", "rel_type", F.round("confidence", 6).alias("confidence"))
+
+
+_EVERY = (_VARIANTS, _VARIANTS.replace(" WHERE type = 'technology'", "")[:-1] + " WHERE upper(name) <> name)")
+
+
+@query(ORACLES["dedup_canonical"].replace(*_EVERY))
+def dedup_canonical_all(spark, d):
+    """Variants of entities of all types."""
+    return dedup_canonical(spark, d, True)
+
+
+@query(
+    _WITH + f", {_DUPES.replace(*_EVERY)}, u AS (SELECT source_name, target_name, rel_type, confidence FROM r UNION ALL SELECT source_name, target_name || ' Inc.', rel_type, confidence / 2 FROM r UNION ALL SELECT source_name, upper(target_name), 'owns', confidence FROM r) "
+    "SELECT coalesce(s.prime, source_name) AS source_name, coalesce(t.prime, target_name) AS target_name, rel_type, round(max(u.confidence), 6) AS confidence FROM u LEFT JOIN (SELECT DISTINCT name, prime FROM w) s ON s.name = u.source_name LEFT JOIN (SELECT DISTINCT name, prime FROM w) t ON t.name = u.target_name GROUP BY ALL"
+)
+def dedup_edges_all(spark, d):
+    """All edges, both ends re-pointed."""
+    return dedup_edges(spark, d, True)
 
 
 @query(_WITH + ", k AS (SELECT name FROM e WHERE NOT (confidence < 0.15 AND mention_count <= 1)) SELECT source_name, target_name, rel_type, round(confidence, 6) AS confidence FROM r WHERE source_name IN (SELECT name FROM k) AND target_name IN (SELECT name FROM k)")
@@ -461,6 +482,17 @@ def infer_closure(spark, d):
     return dream.closure(graph.Graph(e, kept, graph.empty(spark, "memory_ids")), AS_OF).relationships.select("source_name", "target_name")
 
 
+@query(
+    _WITH.replace("WITH ", "WITH RECURSIVE ", 1) + ", b AS (SELECT source_name, target_name FROM r WHERE rel_type = 'part_of' UNION SELECT r_name, 'WORLD' FROM region), "
+    "c AS (SELECT * FROM b UNION SELECT c.source_name, b.target_name FROM c JOIN b ON c.target_name = b.source_name) SELECT * FROM c"
+)
+def infer_closure_all(spark, d):
+    """Every part_of edge, the customers' too."""
+    r = fixtures.relationships(spark, d).where("rel_type = 'part_of'")
+    world = _read(spark, d, "region").select(F.col("r_name").alias("source_name"), F.lit("WORLD").alias("target_name"), F.lit("part_of").alias("rel_type"), F.lit(0.9).alias("confidence"), F.lit("fixture").alias("source_doc"), F.lit(AS_OF).alias("created_at"))
+    return dream.closure(graph.Graph(fixtures.entities(spark, d), r.unionByName(world), graph.empty(spark, "memory_ids")), AS_OF).relationships.select("source_name", "target_name")
+
+
 @query(_WITH + ", s AS (SELECT session_id, count(*) AS n FROM e WHERE session_id IS NOT NULL GROUP BY ALL) SELECT name, round(least(1.0, confidence + coalesce((n - 1) * 0.05, 0)), 6) AS confidence FROM e LEFT JOIN s ON s.session_id = e.session_id")
 def strengthen_sessions(spark, d):
     e = fixtures.entities(spark, d)
