@@ -280,8 +280,9 @@ def insights(spark, d):
 _MESSAGES = "m AS (SELECT p_partkey AS message_id, 'What is the ' || p_name || ' made by ' || p_brand || '?' AS text FROM part WHERE p_size > 25)"
 
 
-def _messages(spark, d):
-    return _read(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("message_id"), F.concat(F.lit("What is the "), "p_name", F.lit(" made by "), "p_brand", F.lit("?")).alias("text"))
+def _messages(spark, d, every=False):
+    part = _read(spark, d, "part")
+    return (part if every else part.where("p_size > 25")).select(F.col("p_partkey").alias("message_id"), F.concat(F.lit("What is the "), "p_name", F.lit(" made by "), "p_brand", F.lit("?")).alias("text"))
 
 
 _KEYED = f"""
@@ -301,11 +302,17 @@ k4 AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY i) AS word_
     "g AS (SELECT message_id, edge, row_number() OVER (PARTITION BY message_id ORDER BY place) AS i FROM c) "
     "SELECT fin.message_id, string_agg(name, '|' ORDER BY entity_rank) AS entities, coalesce((SELECT string_agg(edge, '|' ORDER BY i) FROM g WHERE g.message_id = fin.message_id AND i <= 10), '') AS relationships FROM fin GROUP BY fin.message_id"
 )
-def recall_context(spark, d):
-    got = recall.recall(fixtures.graph(spark, d), _messages(spark, d))
+def recall_context(spark, d, every=False):
+    got = recall.recall(fixtures.graph(spark, d), _messages(spark, d, every))
     return got.select("message_id", F.array_join("entities.name", "|").alias("entities"), F.array_join("relationships", "|").alias("relationships"))
 
 
+@query(ORACLES["recall_context"].replace(" WHERE p_size > 25", ""))
+def recall_context_all(spark, d):
+    """A message for every part."""
+    return recall_context(spark, d, True)
+
+
 @query(
     "WITH m AS (SELECT p_partkey AS message_id, 'What is the ' || p_name || '?' AS text FROM part UNION ALL SELECT p_partkey + 1000000, 'import the ' || p_name || ' and explain' FROM part), q AS (SELECT message_id FROM m WHERE NOT contains(text, 'import ')) SELECT count(*) AS n_messages, min(message_id) AS least FROM q"
 )
@@ -515,10 +522,10 @@ def session_window(spark, d):
     return got.select("session_id", "msg_index", F.md5("text").alias("hash"))
 
 
-def _checkpoint(spark, d):
+def _checkpoint(spark, d, every=False):
     docs = _read(spark, d, "documents")
     failed = F.col("n_chars") < 200
-    return docs.where("doc_id % 3 < 2").select("source", F.col("doc_id").cast("string").alias("file_path"), F.when(failed, "failed").otherwise("processed").alias("status"), (F.col("n_chars") % 11).alias("entities_extracted"), (F.col("n_chars") % 5).alias("entities_rejected"), (F.col("n_chars") % 7).alias("relationships_extracted"), F.lit(None).cast("string").alias("error_message"), F.lit(AS_OF).alias("processed_at"))
+    return (docs if every else docs.where("doc_id % 3 < 2")).select("source", F.col("doc_id").cast("string").alias("file_path"), F.when(failed, "failed").otherwise("processed").alias("status"), (F.col("n_chars") % 11).alias("entities_extracted"), (F.col("n_chars") % 5).alias("entities_rejected"), (F.col("n_chars") % 7).alias("relationships_extracted"), F.lit(None).cast("string").alias("error_message"), F.lit(AS_OF).alias("processed_at"))
 
 
 @query("SELECT source, CAST(doc_id AS VARCHAR) AS file_path FROM documents WHERE NOT (doc_id % 3 < 2 AND n_chars >= 200)")
@@ -532,11 +539,22 @@ def phase_stats(spark, d):
     return merge.phase_stats(_checkpoint(spark, d))
 
 
+@query(ORACLES["phase_stats"].replace(" WHERE doc_id % 3 < 2", ""))
+def phase_stats_all(spark, d):
+    """A checkpoint of all documents."""
+    return merge.phase_stats(_checkpoint(spark, d, True))
+
+
 @query("SELECT source, CAST(sum(n_chars % 11) AS BIGINT) AS entities, CAST(sum(n_chars % 5) AS BIGINT) AS rejected, round(sum(n_chars % 5) / sum(n_chars % 11 + n_chars % 5), 6) AS rejection_rate, CAST(0.4 AS DOUBLE) AS target, sum(n_chars % 5) / sum(n_chars % 11 + n_chars % 5) > 0.4 AS alert FROM documents WHERE doc_id % 3 < 2 GROUP BY source")
 def rejection_alert(spark, d):
     return merge.rejection_rates(merge.phase_stats(_checkpoint(spark, d)))
 
 
+@query(ORACLES["rejection_alert"].replace(" WHERE doc_id % 3 < 2", ""))
+def rejection_alert_all(spark, d):
+    return merge.rejection_rates(merge.phase_stats(_checkpoint(spark, d, True)))
+
+
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])), 6) AS cosine FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, cosine FROM r WHERE rank <= 5")
 def embedding_cosine(spark, d):
     v = _read(spark, d, "embeddings")
