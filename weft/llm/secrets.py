@@ -4,7 +4,7 @@ A context is a credential word (password, token, api key, ...), an assignment si
 or bare.  The cost of a value is that of its cheapest segmentation into dictionary words (also
 capitalised or with digits for letters), dates, repeats, keyboard walks and brute-force spans, found
 by dynamic programming over the whole value: the log10 of each part's guesses, plus ``PART`` for each
-part after the first.  A value that takes ``10 ** STRONG`` guesses or more is a secret; cheaper ones
+part after the first.  Values, walks and repeated blocks may be of any length.  A value that takes ``10 ** STRONG`` guesses or more is a secret; cheaper ones
 ("changeme", "12345678") are reported as placeholders.
 
 Defined cases: a null text has no findings; a null doc_id is scanned and reported as null; repeated
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ MIN_VALUE = 6
 MASK = "<SECRET>"
 
 _NAME = r"passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|auth[_-]?keys?|credentials?"
-#: What RE2 and Python both run: finds the texts worth a closer look.
-_CONTEXT_HEAD = rf"(?:{_NAME})[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*[\"']?[^\s\"']"
-CONTEXT = re.compile(rf"(?P<name>{_NAME})[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*(?:\"(?P<a>[^\"\n]{{{MIN_VALUE},}})\"|'(?P<b>[^'\n]{{{MIN_VALUE},}})'|(?P<c>[^\s\"',;]{{{MIN_VALUE},}}))", re.IGNORECASE)
+_SHAPE = rf"(?P<name>{_NAME})[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*(?:\"(?P<a>[^\"\n]{{{MIN_VALUE},}})\"|'(?P<b>[^'\n]{{{MIN_VALUE},}})'|(?P<c>[^\s\"',;]{{{MIN_VALUE},}}))"
+CONTEXT = re.compile(_SHAPE, re.IGNORECASE)
+#: The same without names of groups, for RE2: finds the texts worth a closer look. Its white space is ASCII, so it finds no fewer.
+_CONTEXT_RE2 = re.sub(r"\?P<\w+>", "?:", _SHAPE)
 
 #: Most common first: the place in the list is the number of guesses.
 COMMON = (
@@ -65,8 +67,77 @@ def char_cost(value: str) -> float:
     return math.log10(max(size, 2))
 
 
+def _reach(h: np.ndarray, power: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+    """How many characters from a on (``back``: before a) equal those from b on, at most ``most``: binary search over prefix hashes."""
+    low, high = np.zeros_like(a), most.copy()
+    while (open_ := low < high).any():
+        mid = (low + high + 1) // 2
+        x, y = (a - mid, b - mid) if back else (a, b)
+        with np.errstate(over="ignore"):
+            same = h[x + mid] - h[x] * power[mid] == h[y + mid] - h[y] * power[mid]
+        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+    return low
+
+
+def runs(value: str) -> list[tuple[int, int, int]]:
+    """(begin, end, size) of every maximal stretch that repeats a block of ``size`` characters, twice at least; blocks of any size.
+
+    Such a stretch holds two places a block apart that are multiples of its size, so those are all that is
+    compared: n / size pairs for a size, n log n in all.
+    """
+    n = len(value)
+    if n < 2:
+        return []
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, power = np.zeros(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    mixed, base = _text.mix(codes.astype(np.uint64)), np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        power[1:] = np.cumprod(np.full(n, base))
+        inverse = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64))))
+        h[1:] = np.cumsum(mixed * inverse) * power[1:]  # h[j] is the sum of mixed[i] * base ** (j - 1 - i)
+    found: dict[tuple[int, int], int] = {}
+    size = 1
+    while size <= n // 2:
+        upto, pairs = size, 0
+        while upto <= n // 2 and pairs < 1 << 19:
+            pairs += n // upto
+            upto += 1
+        sizes = np.arange(size, upto)
+        counts = (n - 1) // sizes
+        step = np.repeat(sizes, counts)
+        a = step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+        b = a + step
+        near = (codes[a] == codes[b]) | (a > 0) & (codes[a - 1] == codes[b - 1])
+        a, b, step = a[near], b[near], step[near]
+        ahead = _reach(h, power, a, b, n - b, False)
+        behind = _reach(h, power, a, b, a, True)
+        long = ahead + behind >= step
+        for begin, end, k in zip((a - behind)[long].tolist(), (b + ahead)[long].tolist(), step[long].tolist(), strict=True):
+            if found.get((begin, end), k) >= k and value[begin : end - k] == value[begin + k : end]:
+                found[begin, end] = k
+        size = upto
+    return sorted((a, b, k) for (a, b), k in found.items())
+
+
+def _walks(low: str) -> list[tuple[int, int]]:
+    """Maximal stretches of three characters or more of which each is next to the one before on a keyboard or in the alphabet."""
+    out, i = [], 0
+    while i < len(low) - 2:
+        j = i + 1
+        while j < len(low) and (low[j - 1], low[j]) in _NEXT:
+            j += 1
+        if j - i >= 3:
+            out.append((i, j))
+        i = max(j - 1, i + 1)
+    return out
+
+
 def parts(value: str) -> list[tuple[int, int, str, float]]:
-    """All spans of the value that are cheaper than brute force: start, end, kind, log10 of the guesses."""
+    """Spans of the value that are cheaper than brute force: start, end, kind, log10 of the guesses.
+
+    All words and dates.  Walks and repeats may be cut: they begin where they can or where another part
+    ends, and end where they can or where another begins; any other cut only leaves more to brute force.
+    """
     found, low, n = [], value.lower(), len(value)
     plain = low.translate(_LEET)
     for i in range(n):
@@ -78,27 +149,20 @@ def parts(value: str) -> list[tuple[int, int, str, float]]:
                     break
     for pattern, kind, cost in ((_DATE, "date", math.log10(365 * 120 * 4)), (_YEAR, "date", math.log10(200))):
         found += [(m.start(), m.start() + len(m[1]), kind, cost) for m in pattern.finditer(value)]
-    i = 0
-    while i < n - 2:  # keyboard walks: maximal, and all their shorter forms of three keys at least
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-        if j - i >= 3:
-            found += [(a, b, "walk", math.log10(47 * 4 * (b - a))) for a, b in {(i, j), *((i, b) for b in range(i + 3, min(j, i + 12))), *((a, j) for a in range(max(i, j - 12), j - 2))}]
-        i = max(j - 1, i + 1)
-    each = char_cost(value)
-    for size in range(1, min(n // 2, 16) + 1):  # repeats of a block
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while j < n and value[j] == value[j - size]:
-                j += 1
-            times = (j - i) // size
-            if times >= (3 if size == 1 else 2):
-                found.append((i, i + times * size, "repeat", size * each + math.log10(times)))
-                i = j - size + 1
-            else:
-                i += 1
+    walks, again, each = _walks(low), runs(value), char_cost(value)
+    # Where parts that aren't cut begin and end; a repeat's own ends: whole blocks from its begin, and to its end.
+    begins = sorted({0} | {f[0] for f in found} | {w[0] for w in walks} | {x for a, b, k in again for x in (a, a + (b - a) % k)})
+    ends = sorted({n} | {f[1] for f in found} | {w[1] for w in walks} | {x for a, b, k in again for x in (b, b - (b - a) % k)})
+    inside = lambda xs, a, b: xs[bisect_left(xs, a) : bisect_right(xs, b)]
+    for a, b in walks:
+        for i in {a, *inside(ends, a, b - 3)}:
+            found += [(i, j, "walk", math.log10(47 * 4 * (j - i))) for j in {b, *inside(begins, i + 3, b)}]
+    for a, b, k in again:
+        least = 3 if k == 1 else 2
+        for i in {*range(a, a + (b - a) % k + 1), *inside(ends, a, b - least * k)}:
+            for times in {(b - i) // k, *((j - i) // k for j in inside(begins, i + least * k, b) if (j - i) % k == 0)}:
+                if times >= least:
+                    found.append((i, i + times * k, "repeat", k * each + math.log10(times)))
     return found
 
 
@@ -144,7 +208,7 @@ def findings(text: str) -> list[tuple[int, int, str, float, str, str]]:
 
 
 def _suspects(texts: pa.Array) -> np.ndarray:
-    return np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _CONTEXT_HEAD, ignore_case=True), False).to_numpy(zero_copy_only=False))
+    return np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _CONTEXT_RE2, ignore_case=True), False).to_numpy(zero_copy_only=False))
 
 
 _FOUND = "doc_id long, start long, n_chars long, name string, guesses_log10 double, parts string, fingerprint string, is_secret boolean"
