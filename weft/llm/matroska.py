@@ -3,14 +3,17 @@
 ``packets`` walks the EBML element tree of each container: variable-length ids and sizes (unknown sizes
 too), Segment Info, Tracks, Clusters with SimpleBlocks and BlockGroups, all four kinds of lacing, and
 Cues.  Each frame of each block becomes one row with its track, codec, timestamp and byte range in the
-container, so payloads can be cut out later without another parse.
+container, so payloads can be cut out later without another parse.  A frame of a lace comes one default
+duration of its track after the frame before it, where the track has one.  Times are whole milliseconds,
+rounded down, in integer arithmetic.  Tracks, time scale and cues are those of a block's own segment.
 
 ``mux`` writes containers from texts, for tables that hold no media: each line is a block on track 1
-(subtitles) or, laced into up to four frames, on track 2; a cluster holds ``CLUSTER`` lines, and every
-second cluster has a cue.
+(subtitles) or, laced into up to four frames of ``FRAME_MS``, on track 2; a cluster holds ``CLUSTER``
+lines, and every second cluster has a cue.
 
 Defined cases: a null container has no packets; one that is damaged or cut short gives the packets
-before the damage and one row whose ``error`` says what is wrong, with all other columns but doc_id null;
+before the damage and one row whose ``error`` says what is wrong, with all other columns but doc_id null
+(numbers of more than 8 bytes, a time scale of 0 and times beyond 64 bits are damage);
 a null doc_id comes back null; repeated rows are each parsed; a null text is muxed as a null container
 and an empty one as a container without clusters.
 """
@@ -25,6 +28,7 @@ from weft.llm import _shared
 
 CLUSTER = 8
 LINE_MS = 1000
+FRAME_MS = 250
 SCALE = 1_000_000  # nanoseconds in a tick
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTERS, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -65,7 +69,7 @@ _HEADER = _element(EBML, _uint(0x4286, 1) + _uint(0x42F7, 1) + _element(0x4282,
 _FRONT = _element(INFO, _uint(0x2AD7B1, SCALE)) + _element(
     TRACKS,
     _element(0xAE, _uint(0xD7, 1) + _uint(0x83, 0x11) + _element(0x86, b"S_TEXT/UTF8"))
-    + _element(0xAE, _uint(0xD7, 2) + _uint(0x83, 0x02) + _element(0x86, b"A_PCM/INT/LIT")),
+    + _element(0xAE, _uint(0xD7, 2) + _uint(0x83, 0x02) + _uint(0x23E383, FRAME_MS * 1_000_000) + _element(0x86, b"A_PCM/INT/LIT")),
 )
 
 
@@ -130,7 +134,11 @@ def _children(data: bytes, at: int, end: int):
         if size is None:
             if ident not in (SEGMENT, CLUSTERS):
                 raise Damaged(f"element {ident:#x} at byte {at} has no size")
-            stop = _unknown_end(data, body, end, ident)
+            try:
+                stop = _unknown_end(data, body, end, ident)
+            except Damaged:  # raised again by whoever reads what is inside, behind the elements before the damage
+                yield ident, body, end, False
+                return
         else:
             stop = body + size
             if stop > end:
@@ -153,9 +161,16 @@ def _unknown_end(data: bytes, at: int, end: int, ident: int) -> int:
 
 
 def _number(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise Damaged(f"number of {b - a} bytes at byte {a}")
     return int.from_bytes(data[a:b], "big")
 
 
+def _ms(ticks: int, scale: int, extra: int = 0) -> int:
+    """Whole milliseconds of so many ticks of ``scale`` nanoseconds and ``extra`` nanoseconds."""
+    return (ticks * scale + extra) // 1_000_000
+
+
 def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     """Byte ranges of a block's frames."""
     if not lacing:
@@ -197,25 +212,24 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     return out
 
 
-def packets(data: bytes) -> tuple[list[tuple], str | None]:
-    """(track, codec, cluster, timestamp_ms, duration_ms, keyframe, lacing, frame, offset, size, cue), and what is wrong, if anything."""
-    out: list[list] = []
-    codecs: dict[int, str] = {}
-    scale, cued, clusters, error = SCALE, set(), [], None
+class _Segment:
+    """What holds for the blocks of one segment: time scale, tracks (codec, nanoseconds a frame), cued clusters, and the rows so far."""
 
-    def block(a: int, b: int, base: int, simple: bool, duration: int | None, refers: bool) -> None:
+    def __init__(self, first_cluster: int):
+        self.scale, self.tracks, self.cued, self.clusters, self.rows, self.first_cluster = SCALE, {}, set(), [], [], first_cluster
+
+    def block(self, data: bytes, a: int, b: int, base: int, simple: bool, duration: int | None, refers: bool) -> None:
         track, at = _read_size(data, a, b)
-        if at + 3 > b:
+        if track is None or at + 3 > b:
             raise Damaged(f"block cut short at byte {a}")
         time = base + int.from_bytes(data[at : at + 2], "big", signed=True)
         flags = data[at + 2]
         lacing = flags >> 1 & 3
         key = bool(flags & 0x80) if simple else not refers
-        frames = _frames(data, at + 3, b, lacing)
-        for i, (start, size) in enumerate(frames):
-            out.append([track, len(clusters) - 1, time, duration, key, _LACING[lacing], i, start, size])
+        for i, (start, size) in enumerate(_frames(data, at + 3, b, lacing)):
+            self.rows.append((track, len(self.clusters) - 1, time, duration, key, _LACING[lacing], i, start, size))
 
-    def cluster(a: int, b: int) -> None:
+    def cluster(self, data: bytes, a: int, b: int) -> None:
         base = 0
         for ident, x, y, short in _children(data, a, b):
             if short:
@@ -223,7 +237,7 @@ def packets(data: bytes) -> tuple[list[tuple], str | None]:
             if ident == 0xE7:
                 base = _number(data, x, y)
             elif ident == 0xA3:
-                block(x, y, base, True, None, False)
+                self.block(data, x, y, base, True, None, False)
             elif ident == 0xA0:
                 inner, duration, refers = [], None, False
                 for child, p, q, broken in _children(data, x, y):
@@ -236,38 +250,67 @@ def packets(data: bytes) -> tuple[list[tuple], str | None]:
                     elif child == 0xFB:
                         refers = True
                 for p, q in inner:
-                    block(p, q, base, False, duration, refers)
+                    self.block(data, p, q, base, False, duration, refers)
+
+    def element(self, data: bytes, child: int, low: int, x: int, y: int) -> None:
+        if child == INFO:
+            for k, p, q, _ in _children(data, x, y):
+                if k == 0x2AD7B1:
+                    scale = _number(data, p, q)
+                    if not scale:
+                        raise Damaged(f"time scale of 0 at byte {p}")
+                    self.scale = scale
+        elif child == TRACKS:
+            for k, p, q, _ in _children(data, x, y):
+                if k == 0xAE:
+                    own = {c: (s, t) for c, s, t, _ in _children(data, p, q)}
+                    if 0xD7 in own:
+                        codec = data[slice(*own[0x86])].decode("ascii", "replace") if 0x86 in own else ""
+                        self.tracks[_number(data, *own[0xD7])] = codec, _number(data, *own[0x23E383]) if 0x23E383 in own else 0
+        elif child == CLUSTERS:
+            self.clusters.append(_head(data, low, x) - low)
+            self.cluster(data, x, y)
+        elif child == CUES:
+            for k, p, q, _ in _children(data, x, y):
+                if k == 0xBB:
+                    for c, s, t, _ in _children(data, p, q):
+                        if c == 0xB7:
+                            self.cued |= {_number(data, e, f) for d, e, f, _ in _children(data, s, t) if d == 0xF1}
+
+    def packets(self) -> list[tuple]:
+        out = []
+        for t, c, time, d, key, lace, i, at, n in self.rows:
+            codec, each = self.tracks.get(t, (None, 0))
+            stamp, lasts = _ms(time, self.scale, i * each), None if d is None else _ms(d, self.scale)
+            if not -(1 << 63) <= stamp < 1 << 63 or (lasts or 0) >= 1 << 63:
+                raise _Beyond(out, f"time beyond 64 bits at byte {at}")
+            out.append((t, codec, self.first_cluster + c, stamp, lasts, key, lace, i, at, n, self.clusters[c] in self.cued))
+        return out
+
+
+class _Beyond(Damaged):
+    """Damage seen only when rows are made: carries those before it."""
+
+    def __init__(self, before: list[tuple], message: str):
+        super().__init__(message)
+        self.before = before
+
 
+def packets(data: bytes) -> tuple[list[tuple], str | None]:
+    """(track, codec, cluster, timestamp_ms, duration_ms, keyframe, lacing, frame, offset, size, cue), and what is wrong, if anything."""
+    segments: list[_Segment] = []
+    error = None
     try:
         top = _children(data, 0, len(data))
         first = next(top, None)
         if first is None or first[0] != EBML or first[3]:
             raise Damaged("no EBML header")
-        segments = 0
         for ident, a, b, short in top:
             if ident != SEGMENT:
                 continue
-            segments += 1
+            segments.append(own := _Segment(sum(len(s.clusters) for s in segments)))
             for child, x, y, broken in _children(data, a, b):
-                if child == INFO:
-                    for k, p, q, _ in _children(data, x, y):
-                        if k == 0x2AD7B1:
-                            scale = _number(data, p, q)
-                elif child == TRACKS:
-                    for k, p, q, _ in _children(data, x, y):
-                        if k == 0xAE:
-                            own = {c: (s, t) for c, s, t, _ in _children(data, p, q)}
-                            if 0xD7 in own:
-                                codecs[_number(data, *own[0xD7])] = data[slice(*own[0x86])].decode("ascii", "replace") if 0x86 in own else ""
-                elif child == CLUSTERS:
-                    clusters.append(_head(data, a, x) - a)
-                    cluster(x, y)
-                elif child == CUES:
-                    for k, p, q, _ in _children(data, x, y):
-                        if k == 0xBB:
-                            for c, s, t, _ in _children(data, p, q):
-                                if c == 0xB7:
-                                    cued |= {_number(data, e, f) for d, e, f, _ in _children(data, s, t) if d == 0xF1}
+                own.element(data, child, a, x, y)
                 if broken:
                     raise Damaged(f"element {child:#x} cut short at byte {y}")
             if short:
@@ -276,8 +319,13 @@ def packets(data: bytes) -> tuple[list[tuple], str | None]:
             raise Damaged("no segment")
     except Damaged as e:
         error = str(e)
-    ms = scale / 1_000_000
-    return [(t, codecs.get(t), c, int(time * ms), None if d is None else int(d * ms), key, lace, i, at, n, clusters[c] in cued) for t, c, time, d, key, lace, i, at, n in out], error
+    out: list[tuple] = []
+    try:
+        for s in segments:
+            out += s.packets()
+    except _Beyond as e:
+        out, error = out + e.before, str(e)
+    return out, error
 
 
 def _head(data: bytes, low: int, body: int) -> int:
@@ -359,7 +407,7 @@ s AS (SELECT doc, sum(opening + body) AS clusters, sum(cue_size) AS cues FROM c5
 s2 AS (SELECT doc, {len(_FRONT)} + clusters + 4 + {_sql_vint("cues")} + cues AS segment FROM s),
 f AS (SELECT o.*, {len(_HEADER)} + 4 + {_sql_vint("segment")} + place + opening + 2 + stamp + after AS base, unnest(range(0, CASE WHEN kind = 0 THEN 1 ELSE 4 END)) AS frame FROM o JOIN c5 ON c5.doc = o.doc AND c5.cluster = o.cluster JOIN s2 ON s2.doc = o.doc)
 SELECT doc_id, CAST(CASE WHEN kind = 0 THEN 1 ELSE 2 END AS BIGINT) AS track, CASE WHEN kind = 0 THEN 'S_TEXT/UTF8' ELSE 'A_PCM/INT/LIT' END AS codec,
-  CAST(cluster AS BIGINT) AS cluster, CAST(i * {LINE_MS} AS BIGINT) AS timestamp_ms, CAST(CASE WHEN kind = 3 THEN {LINE_MS} END AS BIGINT) AS duration_ms, true AS keyframe,
+  CAST(cluster AS BIGINT) AS cluster, CAST(i * {LINE_MS} + frame * {FRAME_MS} AS BIGINT) AS timestamp_ms, CAST(CASE WHEN kind = 3 THEN {LINE_MS} END AS BIGINT) AS duration_ms, true AS keyframe,
   CASE kind WHEN 0 THEN 'none' WHEN 1 THEN 'xiph' WHEN 2 THEN 'fixed' ELSE 'ebml' END AS lacing, CAST(frame AS BIGINT) AS frame, CAST(base + frame * step AS BIGINT) AS "offset",
   CAST(CASE WHEN kind = 0 THEN n WHEN frame < 3 THEN step ELSE n - 3 * step END AS BIGINT) AS size, cluster % 2 = 0 AS cue, CAST(NULL AS VARCHAR) AS error FROM f
 """
