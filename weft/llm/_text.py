@@ -83,12 +83,14 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, heads: tuple[int, ...] = ()) -> Words:
+def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, heads: tuple[int, ...] = (), inside: np.ndarray | None = None) -> Words:
     """All words of the batch. ``fold``: runs of letters and digits, lower-cased; else runs between white space, as they are.
 
+    ``inside``: for each byte, whether it belongs to a word, where that is neither of the two.
+
     ``heads``: for each, also a hash of every word's first so many bytes, in ``heads`` (0: the word is no longer than that).
     """
-    inside = ALNUM if fold else ~SPACE
+    inside = inside if inside is not None else ALNUM if fold else ~SPACE
     starts, ends, hashes = [], [], []
     first_bytes: list[list[np.ndarray]] = [[] for _ in heads]
     cuts = offs[1:-1]
@@ -149,12 +151,12 @@ def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return mix(out), offs
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, so that work arrays stay small whatever the row length."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offs = buffer(batch.column(batch.schema.get_field_index(text)))
+        _, offs = buffer(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
