@@ -151,3 +151,28 @@ def terms(text):
 def dice(text, template):
     a, b = ({*zip(w, w[1:], strict=False)} for w in (terms(text), terms(template)))
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def guesses(value):
+    """The least log10 of the guesses over all segmentations: every span is tried as every kind."""
+    low, n, each = value.lower(), len(value), secrets.char_cost(value)
+    plain = low.translate(secrets._LEET)
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            costs, part = [(j - i) * each], value[i:j]
+            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.7)):
+                if form in secrets.COMMON:
+                    costs.append(math.log10(secrets.COMMON.index(form) + 1) + extra * (form != low[i:j]) + 0.4 * (part != low[i:j]))
+            if j - i == 4 and secrets._YEAR.match(part):
+                costs.append(math.log10(200))
+            if (m := secrets._DATE.match(value, i)) and i + len(m[1]) == j:
+                costs.append(math.log10(365 * 120 * 4))
+            if j - i >= 3 and all(p in secrets._NEXT for p in zip(low[i:j], low[i + 1 : j], strict=False)):
+                costs.append(math.log10(47 * 4 * (j - i)))
+            for k in range(1, (j - i) // 2 + 1):
+                times, rest = divmod(j - i, k)
+                if not rest and times >= (3 if k == 1 else 2) and part == part[:k] * times:
+                    costs.append(k * each + math.log10(times))
+            best[j] = min(best[j], best[i] + min(costs) + (secrets.PART if i else 0.0))
+    return best[n]

@@ -133,6 +133,37 @@ def test_secrets(spark):
     assert secrets.mask(d.limit(0)).count() == 0
 
 
+def test_contexts_with_awkward_values(spark):
+    """Searching all texts equals searching those that the JVM-side look finds."""
+    rng = random.Random(33)
+    bits = ["password", "API-key", "token", "ſecret", '"', "'", " ", "=", ":", ":=", "=>", "\t", "\n", "\u00a0", "é", "!", ",", ";", "Zx9#kQ2!vv8Lp", "abcdef", "04dbebab91ab85687d33"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    texts += [f"{name}{q}{sign}{r}{value}{r}" for name in ("pwd", "Secret_Key") for q in ("", '"') for sign in ("=", " : ") for r in ('"', "'", "") for value in (" correcthorse9X#zz", "'Zx9#kQ2!vv8Lp'", '"x"yyyyyy', "!!,,!!;;")]
+    texts += ['password = " correcthorse9X#zz"', "password: \"'Zx9#kQ2!vv8Lp'\""]
+    rows = list(enumerate(texts))
+    found = Counter((r.doc_id, r.start, r.guesses_log10) for r in secrets.scan(docs(spark, rows)).collect())
+    want = Counter((i, f[0], f[3]) for i, t in rows for f in secrets.findings(t))
+    assert found == want and {len(texts) - 2, len(texts) - 1} <= {i for i, _, _ in want}
+    assert {r.doc_id: r.text for r in secrets.mask(docs(spark, rows)).collect()} == {i: secrets.masked(t) for i, t in rows}
+
+
+def test_secrets_of_repeated_rows_and_without_id(spark):
+    text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    got = Counter(r.doc_id for r in secrets.scan(docs(spark, [(None, text), (1, text), (1, text)])).collect())
+    assert got == {None: 1, 1: 2}
+
+
+def test_repeats_and_walks_of_any_length():
+    for value in ("abcdefghijklmnopq1" * 4, "Zx9#kQ2!vv8LpWm5$t" * 3, "qwqwqwqwqwqwqwqwqwqwpassword", "passpasspassword", "lkjhgfdsaasdfghjkl", "x" * 300 + "yz"):
+        assert math.isclose(secrets.guess_cost(value)[0], brute.guesses(value), abs_tol=1e-9), value
+    rng = random.Random(34)
+    bits = ["pass", "password", "qwerty", "asdf", "1234567", "abcabc", "zxcvbnm", "2019", "12/05/1987", "aaaa", "xX9", "qwqwqw", "lkjhgf", "P@ssw0rd", "dragon"]
+    for _ in range(500):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
+        assert math.isclose(secrets.guess_cost(value)[0], brute.guesses(value), abs_tol=1e-9), value
+    assert secrets.guess_cost("Zx9#kQ2!vv8LpWm5$" * 20_000)[0] < 50  # in seconds, not hours
+
+
 # 4
 
 
@@ -167,6 +198,68 @@ def test_damaged_and_unknown_sizes(spark):
     assert matroska.packets(unknown) == (whole, None)
 
 
+def element(ident, payload):
+    return matroska._element(ident, payload)
+
+
+def unsized(ident, payload):
+    return ident.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + payload
+
+
+def simple(track, time, payload=b"frame", flags=b"\x80"):
+    return element(0xA3, bytes([0x80 | track]) + time.to_bytes(2, "big") + flags + payload)
+
+
+def segment(*children):
+    return matroska._HEADER + element(matroska.SEGMENT, matroska._FRONT + b"".join(children))
+
+
+def test_numbers_beyond_bounds_are_damage(spark):
+    good = element(matroska.CLUSTERS, matroska._uint(0xE7, 5) + simple(1, 1))
+    scale = element(matroska.INFO, element(0x2AD7B1, b"\xff" * 8))
+    for bad in (element(0xE7, b"\xff" * 8), element(0xE7, b"\x01" * 200)):
+        rows, error = matroska.packets(segment(good, element(matroska.CLUSTERS, bad + simple(1, 1))))
+        assert [r[3] for r in rows] == [6] and error
+    assert matroska.packets(segment(scale, good, element(matroska.CLUSTERS, element(0xE7, b"\x7f" + b"\xff" * 7) + simple(1, 1))))[1]
+    assert matroska.packets(segment(element(matroska.INFO, element(0x2AD7B1, b"\x00")), good)) == ([], matroska.packets(segment(element(matroska.INFO, element(0x2AD7B1, b"\x00"))))[1])
+    big = 2**53 + 1  # more than a double holds
+    assert matroska.packets(segment(element(matroska.CLUSTERS, matroska._uint(0xE7, big) + simple(1, 0))))[0][0][3] == big
+
+
+def test_packets_before_damage_in_clusters_of_unknown_size():
+    body = matroska._uint(0xE7, 0) + simple(1, 1) + simple(1, 2) + b"\xa3\x00broken"
+    known, unknown = (matroska.packets(segment(make(matroska.CLUSTERS, body))) for make in (element, unsized))
+    assert [r[3] for r in known[0]] == [r[3] for r in unknown[0]] == [1, 2] and known[1] and unknown[1]
+    two = matroska._HEADER + matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + matroska._FRONT + unsized(matroska.CLUSTERS, matroska._uint(0xE7, 0) + simple(1, 1)) + unsized(matroska.CLUSTERS, matroska._uint(0xE7, 10) + simple(1, 2))
+    assert [(r[2], r[3]) for r in matroska.packets(two)[0]] == [(0, 1), (1, 12)] and matroska.packets(two)[1] is None
+
+
+def test_laces_take_the_default_duration_and_cues_stay_in_their_segment():
+    track = element(matroska.TRACKS, element(0xAE, matroska._uint(0xD7, 3) + matroska._uint(0x23E383, 20_000_000)))
+    lace = simple(3, 0, matroska._laced([b"aa", b"bbb", b"c"], 1), b"\x82")
+    first = element(matroska.CLUSTERS, matroska._uint(0xE7, 100) + lace)
+    rows, error = matroska.packets(matroska._HEADER + element(matroska.SEGMENT, track + first))
+    assert [r[3] for r in rows] == [100, 120, 140] and error is None
+    cue = element(matroska.CUES, element(0xBB, element(0xB7, matroska._uint(0xF1, 0))))
+    two = matroska._HEADER + element(matroska.SEGMENT, first + cue) + element(matroska.SEGMENT, first)
+    rows, error = matroska.packets(two)
+    assert [(r[2], r[3], r[10]) for r in rows] == [(0, 100, True)] * 3 + [(1, 100, False)] * 3 and error is None
+
+
+def test_damaged_bytes_never_fail_a_job(spark):
+    data = np.frombuffer(matroska.mux("\n".join(f"line number {i} of the text" for i in range(24))), np.uint8)
+    rng = np.random.default_rng(2)
+    changed = []
+    for k in range(10_000):
+        b = data.copy()
+        at, n = rng.integers(0, len(b)), rng.integers(1, 12)
+        b[at : at + n] = 255 if k % 2 else rng.integers(0, 256, len(b[at : at + n]))
+        changed.append((k, bytearray(b.tobytes())))
+    got = matroska.packet_table(spark.createDataFrame(changed, "doc_id long, media binary"))
+    assert got.agg(F.count_distinct("doc_id")).first()[0] == 10_000
+    assert got.where("error IS NOT NULL AND (track IS NOT NULL OR size IS NOT NULL)").count() == 0
+
+
 def test_packet_table_odd_rows(spark):
     d = odd(spark)
     out = matroska.packet_table(matroska.containers(d)).collect()
@@ -194,6 +287,15 @@ def test_quality_equals_python(spark):
     assert quality.keep(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2000, 2001, 5000])
+def test_variety_is_judged_at_all_lengths(spark, n):
+    rng = random.Random(n)
+    junk = "\n".join([" ".join(f"w{i % 7}" for i in range(n))])
+    long_fine = sentence(rng, 20_000, 3_000)  # differing words: 0.15 of all, as long texts have
+    kept = {r.doc_id for r in quality.keep(docs(spark, [(1, junk), (2, long_fine), (3, sentence(rng, n, 900))])).collect()}
+    assert kept == {2, 3}
+
+
 def test_ablation(spark):
     texts = ["", "a b", "x " * 30, "#### $$$$ %%%%", "fine words make a fine text", "A | B | C | D"]
     led = quality.ledger(docs(spark, list(enumerate(texts))))
