@@ -9,9 +9,14 @@ units without a bigram of any template are never measured.  A match shares at le
 bigrams with the template, so runs are formed only in texts that have so many, and begin and end at
 pieces that share one: others only lower the score.
 
+Licences are told apart by the words in which their templates differ: of the templates that a unit
+matches only the best counts, and a run counts unless another licence scores as much or more over
+words that it shares, be it by a unit or by a run.
+
 Defined cases: null and empty texts match nothing; a null doc_id is scanned and reported as null;
 repeated rows are each reported; of the units of a document that match a licence the best score is
-given (ties: the larger unit, then the earlier); one document may match several licences.
+given (ties: the larger unit, then the earlier); one document may match several licences, and licences
+that a unit matches alike are all reported.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import _shared, _text
 from weft.llm.license_bigrams import BIGRAMS
+from weft.llm.license_texts import TEXTS
 
 THRESHOLD = 0.8
 LEVELS = ("document", "paragraph", "line", "sentence")
@@ -68,8 +74,8 @@ def templates() -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     for name, text in NOTICES.items():
         names.append(name.split("#")[0])
         sets.append(np.unique(bigrams(_text.words(*_text.buffer(pa.array([text]))).hash)))
-    for name, joined in BIGRAMS.items():
-        names.append(name)
+    for name, joined in (BIGRAMS | TEXTS).items():
+        names.append(name.split("#")[0])
         sets.append(np.unique(bigrams(_text.words(*_text.buffer(pa.array(joined.split("|")))).hash)[::2]))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     pairs = np.concatenate(sets)
@@ -108,6 +114,7 @@ def matches(texts: pa.Array, threshold: float = THRESHOLD) -> list[tuple[int, st
     place = np.minimum(np.searchsorted(pairs, gram), len(pairs) - 1)
     known = pairs[place] == gram
     best: dict[tuple[int, str], tuple[float, int, int]] = {}
+    claims: dict[int, list[tuple[float, int, int, str]]] = {}  # by row: score, first and last word + 1, licence
     for rank, level in enumerate(LEVELS):
         breaks = _breaks(data, offs, level)
         unit = np.searchsorted(breaks, w.start, "right")
@@ -134,16 +141,20 @@ def matches(texts: pa.Array, threshold: float = THRESHOLD) -> list[tuple[int, st
         key, shared = np.unique(both[bound] * len(sizes) + which[bound], return_counts=True)
         i, t = key // len(sizes), key % len(sizes)
         score = 2 * shared / (size[i] + sizes[t])
-        for j in np.flatnonzero(score >= threshold):
+        top = np.zeros(len(size))
+        np.maximum.at(top, i, score)
+        for j in np.flatnonzero((score >= threshold) & (score == top[i])):
             k = (int(row[i[j]]), names[t[j]])
+            a, b = np.searchsorted(unit, [u[begin[i[j]]], u[begin[i[j]]] + 1])
+            claims.setdefault(k[0], []).append((float(score[j]), int(a), int(b), k[1]))
             mine = (-round(float(score[j]), 6), rank, int(i[j]))
             if k not in best or mine < best[k]:
                 best[k] = mine
-    runs = _runs(data, offs, w, gram, known, best, threshold)
+    runs = _runs(data, offs, w, gram, known, best, claims, threshold)
     return sorted([(r, name, -s, LEVELS[rank]) for (r, name), (s, rank, _) in best.items()] + [(r, name, s, RUN) for (r, name), s in runs.items()])
 
 
-def _runs(data: np.ndarray, offs: np.ndarray, w, gram: np.ndarray, known: np.ndarray, best: dict, threshold: float) -> dict[tuple[int, str], float]:
+def _runs(data: np.ndarray, offs: np.ndarray, w, gram: np.ndarray, known: np.ndarray, best: dict, claims: dict, threshold: float) -> dict[tuple[int, str], float]:
     """The best score over runs of adjoining pieces, for each row and licence that no single unit matches."""
     names, sizes, pairs, owner = templates()
     of = np.searchsorted(offs, w.start, "right") - 1
@@ -156,28 +167,51 @@ def _runs(data: np.ndarray, offs: np.ndarray, w, gram: np.ndarray, known: np.nda
     which = owner[np.arange(count.sum()) + np.repeat(left - np.cumsum(count) + count, count)]
     key, shared = np.unique(np.repeat(seen[0].astype(np.int64), count) * len(sizes) + which, return_counts=True)
     row, t = key // len(sizes), key % len(sizes)
+    enough = shared >= sizes[t] * threshold / (2 - threshold) - 1e-9
+    wanted: dict[int, list[int]] = {}
+    for r, i in zip(row[enough].tolist(), t[enough].tolist(), strict=True):
+        if (r, names[i]) not in best:
+            wanted.setdefault(r, []).append(i)
+    if not wanted:
+        return {}
+    piece = np.searchsorted(_breaks(data, offs, "sentence"), w.start, "right")
     found: dict[tuple[int, str], float] = {}
-    piece = None
-    for r, i in zip(row[shared >= sizes[t] * threshold / (2 - threshold) - 1e-9], t[shared >= sizes[t] * threshold / (2 - threshold) - 1e-9], strict=True):
-        if (int(r), names[i]) in best:
-            continue
-        if piece is None:
-            piece = np.searchsorted(_breaks(data, offs, "sentence"), w.start, "right")
-        a, b = np.searchsorted(of, [r, r + 1])
-        score = _best_run(gram[a : b - 1].tolist(), piece[a:b], set(pairs[owner == i].tolist()), threshold)
-        if score >= threshold:
-            k = (int(r), names[i])
-            found[k] = max(found.get(k, 0.0), round(score, 6))
+    for r, ts in wanted.items():
+        a, b = (int(x) for x in np.searchsorted(of, [r, r + 1]))
+        taken = claims.get(r, [])
+        words, pieces = gram[a : b - 1].tolist(), piece[a:b]
+        runs = []
+        for i in ts:
+            template = set(pairs[owner == i].tolist())
+            runs += [(score, a + x, a + y, i) for score, x, y in _free_runs(words, pieces, template, threshold, names[i], [(s, p - a, q - a, n) for s, p, q, n in taken])]
+        for score, x, y, i in sorted(runs, key=lambda k: (-k[0], k[1], k[3])):
+            if not any(s >= score and p < y and x < q and n != names[i] for s, p, q, n in taken):
+                taken = [*taken, (score, x, y, names[i])]
+                found[r, names[i]] = max(found.get((r, names[i]), 0.0), round(score, 6))
     return found
 
 
-def _best_run(gram: list[int], piece: np.ndarray, template: set[int], threshold: float) -> float:
-    """gram: of each word but the last with the next; piece: of each word."""
+def _free_runs(gram: list[int], piece: np.ndarray, template: set[int], threshold: float, name: str, taken: list[tuple[float, int, int, str]], low: int = 0) -> list[tuple[float, int, int]]:
+    """The best run, its first word and its last + 1; where another licence scores as much over words of it, the best before and the best behind those."""
+    if len(piece) < 2:
+        return []
+    score, a, b = _best_run(gram, piece, template, threshold)
+    if score < threshold:
+        return []
+    rival = next(((p - low, q - low) for s, p, q, n in taken if n != name and s >= score and p - low < b and a < q - low), None)
+    if rival is None:
+        return [(score, a + low, b + low)]
+    p, q = max(rival[0], 0), min(rival[1], len(piece))
+    return _free_runs(gram[: max(p - 1, 0)], piece[:p], template, threshold, name, taken, low) + _free_runs(gram[q:], piece[q:], template, threshold, name, taken, low + q)
+
+
+def _best_run(gram: list[int], piece: np.ndarray, template: set[int], threshold: float) -> tuple[float, int, int]:
+    """Score, first word and last + 1. gram: of each word but the last with the next; piece: of each word."""
     _, first = np.unique(piece, return_index=True)
     ends = np.append(first[1:], len(piece))
     hit = np.array([*(g in template for g in gram), False])
     touched = np.logical_or.reduceat(hit | np.append(False, hit[:-1]), first)
-    most, best = len(template) * (2 - threshold) / threshold, 0.0
+    most, best = len(template) * (2 - threshold) / threshold, (0.0, 0, 0)
     places = np.flatnonzero(touched)
     for k, a in enumerate(places):
         own: set[int] = set()
@@ -190,7 +224,9 @@ def _best_run(gram: list[int], piece: np.ndarray, template: set[int], threshold:
             at = max(at, int(ends[b]) - 1)
             if len(own) > most + 1e-9:
                 break
-            best = max(best, 2 * shared / (len(own) + len(template)))
+            score = 2 * shared / (len(own) + len(template))
+            if score > best[0]:
+                best = score, int(first[a]), int(ends[b])
     return best
 
 
@@ -213,7 +249,7 @@ def _template_rows() -> str:
     for name, text in NOTICES.items():
         w = "".join(c if c.isalnum() else " " for c in text.lower()).split()
         rows += sorted({(name, f"{a} {b}") for a, b in zip(w, w[1:], strict=False)})
-    for name, joined in BIGRAMS.items():
+    for name, joined in (BIGRAMS | TEXTS).items():
         rows += sorted({(f"{name}#", g) for g in joined.split("|")})
     return ", ".join(f"('{n}', '{g}')" for n, g in rows)
 
@@ -230,7 +266,8 @@ w AS (SELECT row, rank, part, regexp_extract_all(lower(unit), '[a-z0-9\\x{{80}}-
 g AS (SELECT DISTINCT row, rank, part, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM w WHERE len(ws) > 1),
 n AS (SELECT row, rank, part, count(*) AS size FROM g GROUP BY ALL),
 m AS (SELECT row, rank, part, template, count(*) AS shared FROM g JOIN t ON t.gram = g.gram GROUP BY ALL),
-s AS (SELECT m.row, m.rank, split_part(m.template, '#', 1) AS license, 2 * shared / (n.size + ts.size) AS dice FROM m JOIN n ON n.row = m.row AND n.rank = m.rank AND n.part = m.part JOIN ts ON ts.template = m.template),
-b AS (SELECT row, license, round(max(dice), 6) AS dice, arg_min(rank, (-round(dice, 6), rank)) AS rank FROM s WHERE dice >= {THRESHOLD} GROUP BY row, license)
+s AS (SELECT m.row, m.rank, m.part, split_part(m.template, '#', 1) AS license, 2 * shared / (n.size + ts.size) AS dice FROM m JOIN n ON n.row = m.row AND n.rank = m.rank AND n.part = m.part JOIN ts ON ts.template = m.template),
+k AS (SELECT *, rank() OVER (PARTITION BY row, rank, part ORDER BY dice DESC) AS place FROM s WHERE dice >= {THRESHOLD}),
+b AS (SELECT row, license, round(max(dice), 6) AS dice, arg_min(rank, (-round(dice, 6), rank)) AS rank FROM k WHERE place = 1 GROUP BY row, license)
 SELECT doc_id, license, dice, CASE rank {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LEVELS))} END AS level FROM b JOIN d ON d.row = b.row
 """
