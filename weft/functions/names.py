@@ -31,7 +31,14 @@ MIN_NAME, MAX_NAME, MIN_CONFIDENCE = 2, 100, 0.3
 _PREFIXES = (*"/#.{<", "http", "api/")
 _BAD = r"(?iU)\.(py|json|env|yaml|md)$|^/(api/|health|v1/)|^#|\d{4,}"
 
-_COMPANY = {"strict": r"\b(the|inc|ltd|limited|corporation|corp)\b\.?", "loose": r"\b(the|inc|ltd|limited|corp)\.?"}
+COMPANY = ("the", "inc", "ltd", "limited", "corporation", "corp")
+_WORD = r"[\p{L}\p{N}_]"
+_COMPANY = {
+    "strict": rf"(?<!{_WORD})({'|'.join(COMPANY)})(?!{_WORD})\.?",
+    "ascii": rf"(?<!{_WORD})({'|'.join(COMPANY)})(?!{_WORD})\.?",
+    "loose": rf"(?<!{_WORD})(the|inc|ltd|limited|corp)\.?",
+}
+_KEPT = {"strict": r"[^\p{L}\p{M}\p{N} ]", "ascii": "[^a-z0-9 ]", "loose": "[^a-z0-9 ]"}
 
 
 @F.pandas_udf(T.StringType())
@@ -59,11 +66,12 @@ def normalize(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
 def canonical(name: Column, mode: str = "strict") -> Column:
     """Lower case without company suffixes, articles and punctuation.
 
-    ``loose`` also strips them from the front of longer words ("theory" becomes "ory"), as the upsert
-    path of existing stores does; ``strict`` takes whole words only.
+    ``strict`` takes whole words only and keeps letters and digits of any script; ``ascii`` keeps
+    a to z and 0 to 9 alone, as existing stores do; ``loose`` does so, too, and strips suffixes from the
+    front of longer words ("theory" becomes "ory"), as their upsert path does.
     """
     bare = F.regexp_replace(F.trim(F.lower(name)), _COMPANY[mode], "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9 ]", ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, _KEPT[mode], ""), " +", " "))
 
 
 def reason(name: Column) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, as in tests, one is made and set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, as in tests on one machine, one is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -27,15 +29,21 @@ def shared_table(df: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) of every node in links (a, b)."""
+    """node, root (the least node of its component) of every node in links (a, b).
+
+    Alternating large-star and small-star steps, each a minimum by node and a join: no neighbourhood is
+    held in one row.
+    """
     now = shared_table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     seen = None
     while True:
         both = now.select("a", "b").union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs")).select("a", F.least("a", "m").alias("m"), "bs")
-        large = low.select("a", "m", F.explode("bs").alias("b")).where("b > a AND m <> b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs")).select("m", F.explode(F.array_union("vs", F.array("u"))).alias("b")).where("m <> b")
-        now = shared_table(small.select(F.col("m").alias("a"), "b").distinct())
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a AND m <> b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+        large = shared_table(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select("m", F.col("v").alias("b")).union(least.select("m", "u"))
+        now = shared_table(small.select(F.col("m").alias("a"), "b").where("a <> b").distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -14,6 +14,8 @@ SESSION = "session_id string, last_extracted_msg_index long, last_extraction_at
 MANIFEST = "snapshot_id string, created_at timestamp, schema_version long, entity_count long, relationship_count long, db_checksum string, backup_path string, integrity_status string"
 CHECKPOINT = "source string, file_path string, status string, entities_extracted long, entities_rejected long, relationships_extracted long, error_message string, processed_at timestamp"
 MIGRATIONS = "version long, applied_at timestamp, checksum string, description string, rollback_sql string"
+POSTINGS = "term string, entity_id string, tf long, length int"
+CORPUS = "n long, mean double"
 EMBEDDING = "entity_id string, embedding array<float>, model_name string, computed_at timestamp"
 
 TABLES = {
@@ -25,6 +27,8 @@ TABLES = {
     "checkpoint": CHECKPOINT,
     "schema_meta": MIGRATIONS,
     "embeddings": EMBEDDING,
+    "postings": POSTINGS,
+    "corpus": CORPUS,
 }
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions import texts
+from weft.functions import names, texts
 from weft.functions.extract import Extractor, entity_records, relationship_records, responses
 from weft.operators import merge
 from weft.operators.components import shared_table
@@ -32,7 +32,7 @@ def session_windows(messages: DataFrame, states: DataFrame, most: int = WINDOW,
     return out.where(F.length("text") >= chars)
 
 
-def extract_and_store(g: Graph, prompts: DataFrame, extractor: Extractor, seen_at: datetime, resolve_endpoints: bool = False, mode: str = "loose") -> tuple[Graph, DataFrame]:
+def extract_and_store(g: Graph, prompts: DataFrame, extractor: Extractor, seen_at: datetime, resolve_endpoints: bool = False, mode: str = "strict") -> tuple[Graph, DataFrame]:
     """The graph after the texts of prompts (source, session_id, seq, text); and stored, rejected and edges by source.
 
     ``resolve_endpoints``: ends of edges take the spelling of the entity that their canonical form belongs to.
@@ -54,13 +54,14 @@ def extract_and_store(g: Graph, prompts: DataFrame, extractor: Extractor, seen_a
     return g.with_(entities=entities, relationships=shared_table(edges)), report
 
 
-def resolved(edges: DataFrame, entities: DataFrame, mode: str = "loose") -> DataFrame:
-    from weft.functions import names
-
-    by_form = entities.groupBy(names.canonical(F.col("name"), mode).alias("__form")).agg(F.min("name").alias("__to"), F.collect_set("name").alias("__all"))
+def resolved(edges: DataFrame, entities: DataFrame, mode: str = "strict") -> DataFrame:
+    """Ends of edges that are no entity's name become that of the first entity of their canonical form, where there is one."""
+    form = lambda c: merge.matching_form(names.canonical(F.col(c), mode), F.col(c), mode)
+    known = entities.select(F.col("name").alias("__name")).distinct()
+    by_form = entities.groupBy(form("name").alias("__form")).agg(F.min("name").alias("__to"))
     for end in ("source_name", "target_name"):
-        form = edges.withColumn("__form", names.canonical(F.col(end), mode)).join(by_form, "__form", "left")
-        edges = form.withColumn(end, F.when(F.array_contains("__all", F.col(end)), F.col(end)).otherwise(F.coalesce("__to", end))).select(edges.columns)
+        to = edges.withColumn("__form", form(end)).join(by_form, "__form", "left").join(known, F.col(end) == known["__name"], "left")
+        edges = to.withColumn(end, F.coalesce("__name", "__to", end)).select(edges.columns)
     return edges
 
 

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions import names
 from weft.operators.graph import Graph, top_by
 
 
-def upsert_entities(store: DataFrame, batch: DataFrame, mode: str = "loose") -> DataFrame:
+def matching_form(form: Column, name: Column, mode: str) -> Column:
+    """What names are matched by: their canonical form; a name without one is like itself only, but in ``loose`` mode like all such names."""
+    return form if mode == "loose" else F.when(form == "", F.concat(F.lit("\x01"), name)).otherwise(form)
+
+
+def before(incoming: DataFrame) -> Column:
+    """A sequence value before all those of ``incoming``, which are numbers from 0 on or texts."""
+    return F.lit("") if incoming.schema["seq"].dataType == T.StringType() else F.lit(-1).cast("long")
+
+
+def upsert_entities(store: DataFrame, batch: DataFrame, mode: str = "strict") -> DataFrame:
     """Entities after a batch (name, type, domain, confidence, description, aliases, session_id, seen_at, seq) in order of seq.
 
     The row-by-row rule in closed form: a record goes to the entity of its exact name; failing that to
     one of its canonical form (of several the first name); failing that the first record of the form
     founds an entity.  A target gains one mention a record, the greatest confidence, the latest time, and
     the last description that isn't empty among records of exactly its name.  Other columns keep the
-    founder's values.  Forms that are '' match like any other.
+    founder's values.  A name whose form is '' matches its exact name only, unless ``mode`` is 'loose'.
     """
     held = store.withColumn("__canon", F.coalesce("canonical_name", names.canonical(F.col("name"), mode)))
-    rows = batch.withColumn("__canon", names.canonical(F.col("name"), mode))
-    first = held.groupBy("__canon").agg(F.min("name").alias("__by_canon"))
+    rows = batch.withColumn("__canon", names.canonical(F.col("name"), mode)).withColumn("__form", matching_form(F.col("__canon"), F.col("name"), mode))
+    first = held.groupBy(matching_form(F.col("__canon"), F.col("name"), mode).alias("__form")).agg(F.min("name").alias("__by_canon"))
     known = held.select(F.col("name").alias("__known"))
-    new = rows.join(known, rows["name"] == known["__known"], "left").join(first, "__canon", "left")
-    new = new.withColumn("__target", F.coalesce("__known", "__by_canon", F.first("name").over(Window.partitionBy("__canon").orderBy("seq", "name"))))
+    founder = rows.groupBy("__form").agg(F.min_by("name", F.struct("seq", "name")).alias("__first"))
+    new = rows.join(known, rows["name"] == known["__known"], "left").join(first, "__form", "left").join(founder, "__form", "left")
+    new = new.withColumn("__target", F.coalesce("__known", "__by_canon", "__first"))
     exact = (F.col("name") == F.col("__target")) & (F.coalesce("description", F.lit("")) != "")
     gained = new.groupBy("__target").agg(
         F.count("*").alias("__n"),
@@ -60,10 +72,10 @@ def upsert_relationships(store: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("source_name", "target_name", "rel_type").agg(F.max("confidence").alias("confidence"), first.alias("f")).select("source_name", "target_name", "rel_type", "confidence", "f.source_doc", "f.created_at")
 
 
-def register(store: DataFrame, batch: DataFrame) -> DataFrame:
+def register(store: DataFrame, batch: DataFrame, mode: str = "strict") -> DataFrame:
     """Normalises the batch's names, drops what may not enter the graph, and upserts the rest."""
     ok = names.normalize(batch, "name").where(names.acceptable(F.col("name"), F.col("confidence")))
-    return upsert_entities(store, ok)
+    return upsert_entities(store, ok, mode)
 
 
 def delete_entities(graph: Graph, gone: DataFrame) -> Graph:
@@ -98,14 +110,14 @@ def import_last_wins(store: DataFrame, incoming: DataFrame) -> DataFrame:
     That holds even for a row that is itself evicted later, so two windows decide: a row stays if it is
     the last of its name and the last of its id.
     """
-    both = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(incoming)
+    both = store.withColumn("seq", before(incoming)).unionByName(incoming)
     last = both.withColumn("__n", F.max("seq").over(Window.partitionBy("name"))).withColumn("__i", F.max("seq").over(Window.partitionBy("entity_id")))
     kept = last.where("seq = __n AND seq = __i").drop("seq", "__n", "__i")
     return kept.withColumn("canonical_name", names.canonical(F.col("name")))
 
 
 def import_edges_last_wins(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    both = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(incoming)
+    both = store.withColumn("seq", before(incoming)).unionByName(incoming)
     return top_by(both, ["source_name", "target_name", "rel_type"], [F.desc("seq")], 1).drop("seq", "rank")
 
 
@@ -148,7 +160,7 @@ def _walk(rows: DataFrame) -> DataFrame:
 
 
 def sync_edges_first_wins(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    both = store.withColumn("seq", F.lit(-1).cast("long")).unionByName(incoming)
+    both = store.withColumn("seq", before(incoming)).unionByName(incoming)
     return top_by(both, ["source_name", "target_name", "rel_type"], [F.col("seq")], 1).drop("seq", "rank")
 
 

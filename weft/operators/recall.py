@@ -11,34 +11,34 @@ from weft.operators.components import shared_table
 from weft.operators.graph import Graph, top_by
 
 
-def insights(g: Graph, queries: DataFrame, limit: int = 10, entities: int = 5, edges: int = 10, domain: str | None = None) -> DataFrame:
+def insights(g: Graph, queries: DataFrame, limit: int = 10, entities: int = 5, edges: int = 10, domain: str | None = None, using: search.Index | None = None) -> DataFrame:
     """query_id, rank, name, type, domain, edge_rank, rel_type, other, confidence: the first entities found and their edges.
 
     An entity without edges has one row, with nulls.
     """
-    top = shared_table(search.search(g.entities, queries, limit, domain).where(F.col("rank") <= entities).select("query_id", "rank", "name", "type", "domain"))
+    top = shared_table(search.search(g.entities, queries, limit, domain, using=using).where(F.col("rank") <= entities).select("query_id", "rank", "name", "type", "domain"))
     near = graph.neighbourhood(top, g.relationships, edges).select("name", "edge_rank", "rel_type", "other", "confidence")
     return top.join(near, "name", "left").select("query_id", "rank", "name", "type", "domain", "edge_rank", "rel_type", "other", "confidence")
 
 
-def keyword_entities(entities: DataFrame, messages: DataFrame, most: int = 3, keywords: int = 5) -> DataFrame:
+def keyword_entities(entities: DataFrame, messages: DataFrame, most: int = 3, keywords: int = 5, using: search.Index | None = None) -> DataFrame:
     """message_id, place, entity_id: the entities that the message's keywords find, in the order of keywords, then of rank.
 
     Each keyword is a search of its own; an entity counts where it is found first.
     """
     words = shared_table(messages.select("message_id", F.posexplode(texts.keywords("text", keywords)).alias("word_at", "query")))
     asked = words.select("query").distinct().withColumn("query_id", F.col("query"))
-    found = search.search(entities, asked, most).select("query_id", "rank", "entity_id")
+    found = search.search(entities, asked, most, using=using).select("query_id", "rank", "entity_id")
     first = words.join(found, words["query"] == found["query_id"]).groupBy("message_id", "entity_id").agg(F.min(F.struct("word_at", "rank")).alias("place"))
     return top_by(first, ["message_id"], [F.col("place"), F.col("entity_id")], most, "entity_rank").drop("place")
 
 
-def recall(g: Graph, messages: DataFrame, most: int = 3, keywords: int = 5, per_entity: int = 5, cap: int = 10) -> DataFrame:
+def recall(g: Graph, messages: DataFrame, most: int = 3, keywords: int = 5, per_entity: int = 5, cap: int = 10, using: search.Index | None = None) -> DataFrame:
     """message_id, entities (structs in order), relationships (at most ``cap`` distinct edge texts in order).
 
     A message that finds nothing gets the top entities.
     """
-    by_word = shared_table(keyword_entities(g.entities, messages, most, keywords))
+    by_word = shared_table(keyword_entities(g.entities, messages, most, keywords, using))
     top = graph.top_entities(g.entities, most).withColumn("entity_rank", F.row_number().over(Window.orderBy(F.desc("score"), "name"))).select("entity_id", "entity_rank")
     rest = messages.select("message_id").join(by_word.select("message_id").distinct(), "message_id", "left_anti").crossJoin(top)  # top: ``most`` rows
     picked = by_word.select("message_id", "entity_rank", "entity_id").unionByName(rest.select("message_id", "entity_rank", "entity_id"))
@@ -57,16 +57,16 @@ def rendered(recalled: DataFrame, most_edges: int = 5) -> DataFrame:
     return recalled.select("message_id", F.array_join(F.concat(line, edges), "\n").alias("block"))
 
 
-def recall_hook(g: Graph, messages: DataFrame, phase: str = "full", iterations: int = 2, least: int = 10) -> DataFrame:
+def recall_hook(g: Graph, messages: DataFrame, phase: str = "full", iterations: int = 2, least: int = 10, using: search.Index | None = None) -> DataFrame:
     """Blocks for messages (message_id, text, iteration) of an early iteration and some length; none in the shadow phase."""
     open_ = messages.where((F.col("iteration") <= iterations) & (F.length(F.trim("text")) >= least) & F.lit(phase != "shadow"))
-    return rendered(recall(g, open_))
+    return rendered(recall(g, open_, using=using))
 
 
-def injected(entities: DataFrame, messages: DataFrame, phase: str = "full", most: int = 3, lines: int = 10) -> DataFrame:
+def injected(entities: DataFrame, messages: DataFrame, phase: str = "full", most: int = 3, lines: int = 10, using: search.Index | None = None) -> DataFrame:
     """message_id, block: lines for the entities that a question names; messages with code, and other than questions, get none."""
     asked = messages.where(~texts.has_code(F.col("text")) & texts.is_question(F.col("text")) & F.lit(phase == "full"))
-    found = keyword_entities(entities, asked, most).join(entities, "entity_id")
+    found = keyword_entities(entities, asked, most, using=using).join(entities, "entity_id")
     line = texts.context_text(F.col("name"), F.col("type"), F.col("domain"), F.col("description"))
     listed = found.where(F.col("entity_rank") < lines).groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("entity_rank", line.alias("line")))).alias("l"))
     return listed.select("message_id", F.array_join(F.expr("l.line"), "\n").alias("block"))

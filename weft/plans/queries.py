@@ -74,17 +74,15 @@ def neighbourhoods(spark, d):
     return graph.neighbourhood(g.entities, g.relationships, 5).select("name", "edge_rank", "rel_type", "other", F.round("confidence", 6).alias("confidence"))
 
 
-_NAMES = "n AS (SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT upper(substr(p_name, 1, 1)) || substr(p_name, 2) FROM part UNION ALL SELECT p_brand || ' Inc.' FROM part UNION ALL SELECT 'The ' || p_type || '  Limited' FROM part UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT DISTINCT regexp_split_to_array(text, '[^A-Za-z]+')[1] FROM conversations UNION ALL SELECT substr(text, 1, 120) FROM documents)"
+_NAMES = "n AS (SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT upper(substr(p_name, 1, 1)) || substr(p_name, 2) FROM part UNION ALL SELECT p_brand || ' Inc.' FROM part UNION ALL SELECT 'The ' || p_type || '  Limited' FROM part UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT DISTINCT text FROM conversations UNION ALL SELECT text FROM documents)"
 _SQUEEZED = "trim(regexp_replace(name, '[ \\t\\n\\r\\v\\f]+', ' ', 'g'))"
 
 
-def _names(spark, d, whole=False):
-    """whole: the texts of documents and conversations in full instead of their beginnings."""
+def _names(spark, d):
     part, docs = _read(spark, d, "part"), _read(spark, d, "documents")
-    first = F.split("text", "[^A-Za-z]+")[0]
     p = part.select(F.explode(F.array(F.col("p_name"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)")), F.concat("p_brand", F.lit(" Inc.")), F.concat(F.lit("The "), "p_type", F.lit("  Limited")))).alias("name"))
     rest = [_read(spark, d, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("region", "r_name"), ("nation", "n_name"))]
-    rest += [_read(spark, d, "conversations").select((F.col("text") if whole else first).alias("name")).distinct(), docs.select((F.col("text") if whole else F.substring("text", 1, 120)).alias("name"))]
+    rest += [_read(spark, d, "conversations").select(F.col("text").alias("name")).distinct(), docs.select(F.col("text").alias("name"))]
     for x in rest:
         p = p.unionByName(x)
     return p
@@ -101,16 +99,16 @@ _REASON = (
 
 
 @query(f"WITH {_NAMES}, q AS (SELECT DISTINCT {_SQUEEZED} AS name FROM n) SELECT name, {_REASON} AS reason FROM q")
-def name_validation(spark, d, whole=False):
-    return names.normalize(_names(spark, d, whole), "name").distinct().select("name", names.reason(F.col("name")).alias("reason"))
+def name_validation(spark, d):
+    return names.normalize(_names(spark, d), "name").distinct().select("name", names.reason(F.col("name")).alias("reason"))
 
 
 @query(
     f"WITH {_NAMES}, l AS (SELECT name FROM n UNION ALL SELECT text FROM documents UNION ALL SELECT upper(md5(name)) FROM n UNION ALL SELECT 'sk-' || name FROM n), q AS (SELECT DISTINCT name FROM l) SELECT md5(name) AS id, "
     r"array_to_string(list_filter([CASE WHEN regexp_matches(name, '[\w.\-]+@[\w.\-]+\.\w+') THEN 'email' END, CASE WHEN regexp_matches(name, 'sk-|ghp_|hf_|nvapi-') THEN 'api_key' END, CASE WHEN regexp_matches(name, '(^|[^A-Za-z0-9])[A-Z0-9]{8}[A-Za-z0-9]{24,}') THEN 'token' END], lambda x: x IS NOT NULL), ',') AS labels FROM q"
 )
-def pii_detect(spark, d, whole=False):
-    n = _names(spark, d, whole)
+def pii_detect(spark, d):
+    n = _names(spark, d)
     rows = n.unionByName(_read(spark, d, "documents").select(F.col("text").alias("name"))).unionByName(n.select(F.upper(F.md5("name")).alias("name"))).unionByName(n.select(F.concat(F.lit("sk-"), "name").alias("name")))
     return rows.distinct().select(F.md5("name").alias("id"), F.array_join(names.pii(F.col("name")), ",").alias("labels"))
 
@@ -128,57 +126,53 @@ def type_correction(spark, d):
     return rows.select("name", "type", final.alias("final"), (final != coerced).alias("corrected")).groupBy("name", "type", "final", "corrected").agg(F.count("*").alias("n"))
 
 
-def _canonical_sql(pattern: str) -> str:
-    return f"WITH {_NAMES} SELECT DISTINCT name, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(name)), '{pattern}', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS form FROM n WHERE NOT regexp_matches(name, '[^\\x00-\\x7F]')"
+#: A lower-cased text as word runs and what is between them, so that whole words can be taken out in an engine without look-behind.
+_RUNS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')"
+_DROPPED = "list_filter({}, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in names.COMPANY) + "))"
+_CUT = "list_transform({}, lambda x: regexp_replace(x, '^(the|inc|ltd|limited|corp)', ''))"
 
 
-def _forms(spark, d, mode):
-    return _names(spark, d).where(~F.col("name").rlike(r"[^\x00-\x7F]")).distinct().select("name", names.canonical(F.col("name"), mode).alias("form"))
-
-
-@query(_canonical_sql(r"\b(the|inc|ltd|limited|corp|corporation)\b\.?"))
-def canonical_strict(spark, d):
-    return _forms(spark, d, "strict")
+def form_sql(name: str, mode: str) -> str:
+    kept = (_CUT if mode == "loose" else _DROPPED).format(_RUNS.format(name))
+    others = "[^\\p{L}\\p{M}\\p{N} ]" if mode == "strict" else "[^a-z0-9 ]"
+    return f"trim(regexp_replace(regexp_replace(array_to_string({kept}, ''), '{others}', '', 'g'), ' +', ' ', 'g'))"
 
 
-@query(_canonical_sql(r"\b(the|inc|ltd|limited|corp)\.?"))
-def canonical_loose(spark, d):
-    return _forms(spark, d, "loose")
+def _canonical_sql(mode: str) -> str:
+    return f"WITH {_NAMES}, u AS (SELECT DISTINCT name FROM n) SELECT md5(name) AS id, md5({form_sql('name', mode)}) AS form FROM u"
 
 
-@query()
-def canonical_strict_all(spark, d):
-    """No SQL, as for the other three: whole texts and names with any characters. Held against plain Python."""
-    return _names(spark, d, True).distinct().select("name", names.canonical(F.col("name"), "strict").alias("form"))
+def _forms(spark, d, mode):
+    return _names(spark, d).distinct().select(F.md5("name").alias("id"), F.md5(names.canonical(F.col("name"), mode)).alias("form"))
 
 
-@query()
-def canonical_loose_all(spark, d):
-    return _names(spark, d, True).distinct().select("name", names.canonical(F.col("name"), "loose").alias("form"))
+@query(_canonical_sql("strict"))
+def canonical_strict(spark, d):
+    return _forms(spark, d, "strict")
 
 
-@query()
-def name_validation_all(spark, d):
-    return name_validation(spark, d, True)
+@query(_canonical_sql("ascii"))
+def canonical_ascii(spark, d):
+    return _forms(spark, d, "ascii")
 
 
-@query()
-def pii_detect_all(spark, d):
-    return pii_detect(spark, d, True)
+@query(_canonical_sql("loose"))
+def canonical_loose(spark, d):
+    return _forms(spark, d, "loose")
 
 
 _STOP = ", ".join(f"'{w}'" for w in texts.STOPWORDS)
 
 
 @query(
-    "WITH w AS (SELECT conv_id, turn, list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(x, '[^a-zA-Z0-9_-]', '', 'g')) AS ws FROM conversations WHERE role = 'user'), "
+    "WITH w AS (SELECT conv_id, turn, list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(x, '[^a-zA-Z0-9_-]', '', 'g')) AS ws FROM conversations), "
     "x AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), "
     f"k AS (SELECT conv_id, turn, lower(word) AS low, arg_min(word, i) AS word, min(i) AS i FROM x WHERE length(word) >= 2 AND lower(word) NOT IN ({_STOP}) GROUP BY ALL), "
     "t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM k) "
-    "SELECT c.conv_id, c.turn, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE r <= 5), '') AS keywords FROM conversations c LEFT JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn WHERE c.role = 'user' GROUP BY ALL"
+    "SELECT c.conv_id, c.turn, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE r <= 5), '') AS keywords FROM conversations c LEFT JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn GROUP BY ALL"
 )
 def keywords(spark, d):
-    return _read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(texts.keywords("text"), " ").alias("keywords"))
+    return _read(spark, d, "conversations").select("conv_id", "turn", F.array_join(texts.keywords("text"), " ").alias("keywords"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list_transform(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 5), lambda w: w || '*'), ' OR ') AS match FROM conversations")
@@ -262,7 +256,7 @@ _PART_Q = "q AS (SELECT DISTINCT p_name || p_type AS query_id, p_name || ' ' ||
 )
 def search_bm25(spark, d):
     asked = _read(spark, d, "part").select(F.concat("p_name", "p_type").alias("query_id"), F.concat("p_name", F.lit(" "), F.substring("p_type", 1, 3)).alias("query")).distinct()
-    return search.search(fixtures.entities(spark, d), asked).select("query_id", "rank", "name", "score")
+    return search.search(fixtures.entities(spark, d), asked, using=fixtures.index(spark, d)).select("query_id", "rank", "name", "score")
 
 
 _TOPIC = "q AS (SELECT DISTINCT p_name AS query_id, p_name AS query FROM part)"
@@ -274,15 +268,14 @@ _TOPIC = "q AS (SELECT DISTINCT p_name AS query_id, p_name AS query FROM part)"
 )
 def insights(spark, d):
     asked = _read(spark, d, "part").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
-    return recall.insights(fixtures.graph(spark, d), asked).withColumn("confidence", F.round("confidence", 6))
+    return recall.insights(fixtures.graph(spark, d), asked, using=fixtures.index(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-_MESSAGES = "m AS (SELECT p_partkey AS message_id, 'What is the ' || p_name || ' made by ' || p_brand || '?' AS text FROM part WHERE p_size > 25)"
+_MESSAGES = "m AS (SELECT p_partkey AS message_id, 'What is the ' || p_name || ' made by ' || p_brand || '?' AS text FROM part)"
 
 
-def _messages(spark, d, every=False):
-    part = _read(spark, d, "part")
-    return (part if every else part.where("p_size > 25")).select(F.col("p_partkey").alias("message_id"), F.concat(F.lit("What is the "), "p_name", F.lit(" made by "), "p_brand", F.lit("?")).alias("text"))
+def _messages(spark, d):
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("message_id"), F.concat(F.lit("What is the "), "p_name", F.lit(" made by "), "p_brand", F.lit("?")).alias("text"))
 
 
 _KEYED = f"""
@@ -302,24 +295,18 @@ k4 AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY i) AS word_
     "g AS (SELECT message_id, edge, row_number() OVER (PARTITION BY message_id ORDER BY place) AS i FROM c) "
     "SELECT fin.message_id, string_agg(name, '|' ORDER BY entity_rank) AS entities, coalesce((SELECT string_agg(edge, '|' ORDER BY i) FROM g WHERE g.message_id = fin.message_id AND i <= 10), '') AS relationships FROM fin GROUP BY fin.message_id"
 )
-def recall_context(spark, d, every=False):
-    got = recall.recall(fixtures.graph(spark, d), _messages(spark, d, every))
+def recall_context(spark, d):
+    got = recall.recall(fixtures.graph(spark, d), _messages(spark, d), using=fixtures.index(spark, d))
     return got.select("message_id", F.array_join("entities.name", "|").alias("entities"), F.array_join("relationships", "|").alias("relationships"))
 
 
-@query(ORACLES["recall_context"].replace(" WHERE p_size > 25", ""))
-def recall_context_all(spark, d):
-    """A message for every part."""
-    return recall_context(spark, d, True)
-
-
 @query(
     "WITH m AS (SELECT p_partkey AS message_id, 'What is the ' || p_name || '?' AS text FROM part UNION ALL SELECT p_partkey + 1000000, 'import the ' || p_name || ' and explain' FROM part), q AS (SELECT message_id FROM m WHERE NOT contains(text, 'import ')) SELECT count(*) AS n_messages, min(message_id) AS least FROM q"
 )
 def injection_gate(spark, d):
     p = _read(spark, d, "part")
     rows = p.select(F.col("p_partkey").alias("message_id"), F.concat(F.lit("What is the "), "p_name", F.lit("?")).alias("text")).unionByName(p.select((F.col("p_partkey") + 1000000).alias("message_id"), F.concat(F.lit("import the "), "p_name", F.lit(" and explain")).alias("text")))
-    got = recall.injected(fixtures.entities(spark, d), rows)
+    got = recall.injected(fixtures.entities(spark, d), rows, using=fixtures.index(spark, d))
     return got.agg(F.count("*").alias("n_messages"), F.min("message_id").alias("least"))
 
 
@@ -336,7 +323,7 @@ def _mention_batch(spark, d):
     )
 
 
-_LOOSE = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(the|inc|ltd|limited|corp)\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+_LOOSE = form_sql("{}", "loose").replace("{}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{}")
 
 
 @query(
@@ -347,7 +334,7 @@ _LOOSE = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\
 )
 def upsert_entities(spark, d):
     store = fixtures.entities(spark, d).withColumn("canonical_name", names.canonical(F.col("name"), "loose"))
-    return merge.upsert_entities(store, _mention_batch(spark, d)).select("name", "mention_count", F.round("confidence", 6).alias("confidence"), "description")
+    return merge.upsert_entities(store, _mention_batch(spark, d), "loose").select("name", "mention_count", F.round("confidence", 6).alias("confidence"), "description")
 
 
 @query(
@@ -393,28 +380,26 @@ def decay_scheduler_floor(spark, d):
 
 
 _VARIANTS = (
-    "v AS (SELECT name, confidence, mention_count FROM e WHERE type = 'technology' UNION ALL SELECT 'The ' || name, confidence / 2, mention_count FROM e WHERE type = 'technology' "
-    "UNION ALL SELECT name || ' Inc.', confidence / 3, mention_count + 1 FROM e WHERE type = 'technology' UNION ALL SELECT upper(name), confidence, 1 FROM e WHERE type = 'technology')"
+    "v AS (SELECT name, confidence, mention_count FROM e UNION ALL SELECT 'The ' || name, confidence / 2, mention_count FROM e "
+    "UNION ALL SELECT name || ' Inc.', confidence / 3, mention_count + 1 FROM e UNION ALL SELECT upper(name), confidence, 1 FROM e WHERE upper(name) <> name)"
 )
-_STRICT = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\\b(the|inc|ltd|limited|corp|corporation)\\b\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+_STRICT = form_sql("{}", "strict").replace("{}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{}")
 
 
-def _variants(spark, d, every=False):
+def _variants(spark, d):
     e = fixtures.entities(spark, d)
-    e = e if every else e.where("type = 'technology'")
     forms = [(F.col("name"), F.col("confidence"), F.col("mention_count")), (F.concat(F.lit("The "), "name"), F.col("confidence") / 2, F.col("mention_count")), (F.concat("name", F.lit(" Inc.")), F.col("confidence") / 3, F.col("mention_count") + 1), (F.upper("name"), F.col("confidence"), F.lit(1).cast("long"))]
     out = None
     for i, (n, c, m) in enumerate(forms):
-        one = e.where(F.upper("name") != F.col("name")) if every and i == 3 else e  # a name in upper case is there already
+        one = e.where(F.upper("name") != F.col("name")) if i == 3 else e  # a name in upper case is there already
         one = one.withColumns({"name": n, "confidence": c, "mention_count": m})
         out = one if out is None else out.unionByName(one)
     return out.withColumns({"entity_id": names.entity_id(F.col("name")), "canonical_name": F.lit(None).cast("string")})
 
 
-def _variant_graph(spark, d, every=False):
-    e = _variants(spark, d, every)
+def _variant_graph(spark, d):
+    e = _variants(spark, d)
     r = fixtures.relationships(spark, d)
-    r = r if every else r.where("rel_type = 'uses'")
     r = r.unionByName(r.withColumns({"target_name": F.concat("target_name", F.lit(" Inc.")), "confidence": F.col("confidence") / 2})).unionByName(r.withColumns({"target_name": F.upper("target_name"), "rel_type": F.lit("owns")}))
     return graph.Graph(e, r, e.select("entity_id", F.lit("m").alias("memory_id")))
 
@@ -423,34 +408,20 @@ _DUPES = f"{_VARIANTS}, p AS (SELECT *, {_STRICT.format('name')} AS form FROM v)
 
 
 @query(_WITH + f", {_DUPES} SELECT prime AS name, CAST(sum(mention_count) AS BIGINT) AS mention_count, round(max(confidence), 6) AS confidence, coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE name <> prime), '') AS aliases FROM w GROUP BY prime")
-def dedup_canonical(spark, d, every=False):
-    return dream.dedup(_variant_graph(spark, d, every)).entities.select("name", "mention_count", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", "|").alias("aliases"))
-
-
-@query(
-    _WITH + f", {_DUPES}, u AS (SELECT source_name, target_name, rel_type, confidence FROM r WHERE rel_type = 'uses' UNION ALL SELECT source_name, target_name || ' Inc.', rel_type, confidence / 2 FROM r WHERE rel_type = 'uses' UNION ALL SELECT source_name, upper(target_name), 'owns', confidence FROM r WHERE rel_type = 'uses') "
-    "SELECT source_name, coalesce(prime, target_name) AS target_name, rel_type, round(max(u.confidence), 6) AS confidence FROM u LEFT JOIN w ON w.name = u.target_name GROUP BY ALL"
-)
-def dedup_edges(spark, d, every=False):
-    return dream.dedup(_variant_graph(spark, d, every)).relationships.select("source_name", "target_name", "rel_type", F.round("confidence", 6).alias("confidence"))
-
+def dedup_canonical(spark, d):
+    return dream.dedup(_variant_graph(spark, d)).entities.select("name", "mention_count", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", "|").alias("aliases"))
 
-_EVERY = (_VARIANTS, _VARIANTS.replace(" WHERE type = 'technology'", "")[:-1] + " WHERE upper(name) <> name)")
 
-
-@query(ORACLES["dedup_canonical"].replace(*_EVERY))
-def dedup_canonical_all(spark, d):
-    """Variants of entities of all types."""
-    return dedup_canonical(spark, d, True)
+_TRIPLED = "u AS (SELECT source_name, target_name, rel_type, confidence FROM r UNION ALL SELECT source_name, target_name || ' Inc.', rel_type, confidence / 2 FROM r UNION ALL SELECT source_name, upper(target_name), 'owns', confidence FROM r)"
 
 
 @query(
-    _WITH + f", {_DUPES.replace(*_EVERY)}, u AS (SELECT source_name, target_name, rel_type, confidence FROM r UNION ALL SELECT source_name, target_name || ' Inc.', rel_type, confidence / 2 FROM r UNION ALL SELECT source_name, upper(target_name), 'owns', confidence FROM r) "
-    "SELECT coalesce(s.prime, source_name) AS source_name, coalesce(t.prime, target_name) AS target_name, rel_type, round(max(u.confidence), 6) AS confidence FROM u LEFT JOIN (SELECT DISTINCT name, prime FROM w) s ON s.name = u.source_name LEFT JOIN (SELECT DISTINCT name, prime FROM w) t ON t.name = u.target_name GROUP BY ALL"
+    _WITH + f", {_DUPES}, {_TRIPLED} SELECT coalesce(s.prime, source_name) AS source_name, coalesce(t.prime, target_name) AS target_name, rel_type, round(max(u.confidence), 6) AS confidence "
+    "FROM u LEFT JOIN (SELECT DISTINCT name, prime FROM w) s ON s.name = u.source_name LEFT JOIN (SELECT DISTINCT name, prime FROM w) t ON t.name = u.target_name GROUP BY ALL"
 )
-def dedup_edges_all(spark, d):
+def dedup_edges(spark, d):
     """All edges, both ends re-pointed."""
-    return dedup_edges(spark, d, True)
+    return dream.dedup(_variant_graph(spark, d)).relationships.select("source_name", "target_name", "rel_type", F.round("confidence", 6).alias("confidence"))
 
 
 @query(_WITH + ", k AS (SELECT name FROM e WHERE NOT (confidence < 0.15 AND mention_count <= 1)) SELECT source_name, target_name, rel_type, round(confidence, 6) AS confidence FROM r WHERE source_name IN (SELECT name FROM k) AND target_name IN (SELECT name FROM k)")
@@ -475,25 +446,11 @@ def infer_transitive(spark, d):
     return dream.inferred(fixtures.relationships(spark, d))
 
 
-@query(
-    "WITH RECURSIVE b AS (SELECT s_name AS source_name, n_name AS target_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'WORLD' FROM region), "
-    "c AS (SELECT * FROM b UNION SELECT c.source_name, b.target_name FROM c JOIN b ON c.target_name = b.source_name) SELECT * FROM c"
-)
-def infer_closure(spark, d):
-    r = fixtures.relationships(spark, d).where("rel_type = 'part_of'")
-    supplier = _read(spark, d, "supplier").select(F.col("s_name").alias("source_name"))
-    nation = _read(spark, d, "nation").select(F.col("n_name").alias("source_name"))
-    region = _read(spark, d, "region")
-    kept = r.join(supplier.unionByName(nation), "source_name", "left_semi").unionByName(region.select(F.col("r_name").alias("source_name"), F.lit("WORLD").alias("target_name"), F.lit("part_of").alias("rel_type"), F.lit(0.9).alias("confidence"), F.lit("fixture").alias("source_doc"), F.lit(AS_OF).alias("created_at")))
-    e = fixtures.entities(spark, d)
-    return dream.closure(graph.Graph(e, kept, graph.empty(spark, "memory_ids")), AS_OF).relationships.select("source_name", "target_name")
-
-
 @query(
     _WITH.replace("WITH ", "WITH RECURSIVE ", 1) + ", b AS (SELECT source_name, target_name FROM r WHERE rel_type = 'part_of' UNION SELECT r_name, 'WORLD' FROM region), "
     "c AS (SELECT * FROM b UNION SELECT c.source_name, b.target_name FROM c JOIN b ON c.target_name = b.source_name) SELECT * FROM c"
 )
-def infer_closure_all(spark, d):
+def infer_closure(spark, d):
     """Every part_of edge, the customers' too."""
     r = fixtures.relationships(spark, d).where("rel_type = 'part_of'")
     world = _read(spark, d, "region").select(F.col("r_name").alias("source_name"), F.lit("WORLD").alias("target_name"), F.lit("part_of").alias("rel_type"), F.lit(0.9).alias("confidence"), F.lit("fixture").alias("source_doc"), F.lit(AS_OF).alias("created_at"))
@@ -522,50 +479,32 @@ def session_window(spark, d):
     return got.select("session_id", "msg_index", F.md5("text").alias("hash"))
 
 
-def _checkpoint(spark, d, every=False):
-    docs = _read(spark, d, "documents")
+def _checkpoint(spark, d):
     failed = F.col("n_chars") < 200
-    return (docs if every else docs.where("doc_id % 3 < 2")).select("source", F.col("doc_id").cast("string").alias("file_path"), F.when(failed, "failed").otherwise("processed").alias("status"), (F.col("n_chars") % 11).alias("entities_extracted"), (F.col("n_chars") % 5).alias("entities_rejected"), (F.col("n_chars") % 7).alias("relationships_extracted"), F.lit(None).cast("string").alias("error_message"), F.lit(AS_OF).alias("processed_at"))
+    return _read(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("file_path"), F.when(failed, "failed").otherwise("processed").alias("status"), (F.col("n_chars") % 11).alias("entities_extracted"), (F.col("n_chars") % 5).alias("entities_rejected"), (F.col("n_chars") % 7).alias("relationships_extracted"), F.lit(None).cast("string").alias("error_message"), F.lit(AS_OF).alias("processed_at"))
 
 
 @query("SELECT source, CAST(doc_id AS VARCHAR) AS file_path FROM documents WHERE NOT (doc_id % 3 < 2 AND n_chars >= 200)")
 def checkpoint_resume(spark, d):
     files = _read(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("file_path"))
-    return merge.unprocessed(files, _checkpoint(spark, d))
+    return merge.unprocessed(files, _checkpoint(spark, d).where("CAST(file_path AS BIGINT) % 3 < 2"))  # the others were never tried
 
 
-@query("SELECT source, count(*) FILTER (WHERE n_chars >= 200) AS n_processed, count(*) FILTER (WHERE n_chars < 200) AS n_failed, CAST(sum(n_chars % 11) AS BIGINT) AS entities, CAST(sum(n_chars % 5) AS BIGINT) AS rejected, CAST(sum(n_chars % 7) AS BIGINT) AS relationships FROM documents WHERE doc_id % 3 < 2 GROUP BY source")
+@query("SELECT source, count(*) FILTER (WHERE n_chars >= 200) AS n_processed, count(*) FILTER (WHERE n_chars < 200) AS n_failed, CAST(sum(n_chars % 11) AS BIGINT) AS entities, CAST(sum(n_chars % 5) AS BIGINT) AS rejected, CAST(sum(n_chars % 7) AS BIGINT) AS relationships FROM documents GROUP BY source")
 def phase_stats(spark, d):
     return merge.phase_stats(_checkpoint(spark, d))
 
 
-@query(ORACLES["phase_stats"].replace(" WHERE doc_id % 3 < 2", ""))
-def phase_stats_all(spark, d):
-    """A checkpoint of all documents."""
-    return merge.phase_stats(_checkpoint(spark, d, True))
-
-
-@query("SELECT source, CAST(sum(n_chars % 11) AS BIGINT) AS entities, CAST(sum(n_chars % 5) AS BIGINT) AS rejected, round(sum(n_chars % 5) / sum(n_chars % 11 + n_chars % 5), 6) AS rejection_rate, CAST(0.4 AS DOUBLE) AS target, sum(n_chars % 5) / sum(n_chars % 11 + n_chars % 5) > 0.4 AS alert FROM documents WHERE doc_id % 3 < 2 GROUP BY source")
+@query("SELECT source, CAST(sum(n_chars % 11) AS BIGINT) AS entities, CAST(sum(n_chars % 5) AS BIGINT) AS rejected, round(sum(n_chars % 5) / sum(n_chars % 11 + n_chars % 5), 6) AS rejection_rate, CAST(0.4 AS DOUBLE) AS target, sum(n_chars % 5) / sum(n_chars % 11 + n_chars % 5) > 0.4 AS alert FROM documents GROUP BY source")
 def rejection_alert(spark, d):
     return merge.rejection_rates(merge.phase_stats(_checkpoint(spark, d)))
 
 
-@query(ORACLES["rejection_alert"].replace(" WHERE doc_id % 3 < 2", ""))
-def rejection_alert_all(spark, d):
-    return merge.rejection_rates(merge.phase_stats(_checkpoint(spark, d, True)))
-
-
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])), 6) AS cosine FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, cosine FROM r WHERE rank <= 5")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])), 6) AS cosine FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, cosine FROM r WHERE rank <= 5")
 def embedding_cosine(spark, d):
+    """Every row whose id is divisible by 50 against all rows."""
     v = _read(spark, d, "embeddings")
-    return search.similar(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))).select("query_id", "rank", "vec_id", "cosine")
-
-
-@query(ORACLES["embedding_cosine"].replace(" WHERE vec_id < 20", ""))
-def embedding_cosine_all(spark, d):
-    """Every embedding is a query."""
-    v = _read(spark, d, "embeddings")
-    return search.similar(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))).select("query_id", "rank", "vec_id", "cosine")
+    return search.similar(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))).select("query_id", "rank", "vec_id", "cosine")
 
 
 @query()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import queries as graph_queries
+from weft.plans import parts, queries as graph_queries  # noqa: F401  parts registers its own
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

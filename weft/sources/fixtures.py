@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import names
+from weft.operators import search
+from weft.operators.components import shared_folder
 from weft.operators.graph import Graph
 
 #: The views as SQL that any engine runs; ``{t}`` stands for a table's name.
@@ -48,18 +53,45 @@ def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(_spelled(sql, {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in _TABLES} | {"string": "STRING"}))
 
 
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The view as a table in the shared folder, written once by application and directory: a graph is stored, not joined together by each reader."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        path = f"{shared_folder(spark)}/view-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _built[key] = path
+    return spark.read.parquet(_built[key])
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity view with every column of the entity schema; ``created_at`` and the like are a fixed time."""
     at = F.lit(FOUNDED).cast("timestamp")
-    e = _view(spark, sf_dir, ENTITIES_SQL)
-    return e.select(
-        names.entity_id(F.col("name")).alias("entity_id"), "name", "type", "domain", "confidence", "mention_count", at.alias("first_seen"), at.alias("last_seen"), "description",
-        F.array().cast("array<string>").alias("aliases"), "session_id", at.alias("created_at"), names.canonical(F.col("name")).alias("canonical_name"),
-    )
+
+    def make() -> DataFrame:
+        return _view(spark, sf_dir, ENTITIES_SQL).select(
+            names.entity_id(F.col("name")).alias("entity_id"), "name", "type", "domain", "confidence", "mention_count", at.alias("first_seen"), at.alias("last_seen"), "description",
+            F.array().cast("array<string>").alias("aliases"), "session_id", at.alias("created_at"), names.canonical(F.col("name")).alias("canonical_name"),
+        )
+
+    return _once(spark, sf_dir, "entities", make)
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The search index of the entity view, made once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = search.index(entities(spark, sf_dir))
+    return _indexes[key]
+
+
+_indexes: dict[tuple[str, str], search.Index] = {}
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, EDGES_SQL).select("source_name", "target_name", "rel_type", "confidence", F.lit("fixture").alias("source_doc"), F.lit(FOUNDED).cast("timestamp").alias("created_at"))
+    return _once(spark, sf_dir, "relationships", lambda: _view(spark, sf_dir, EDGES_SQL).select("source_name", "target_name", "rel_type", "confidence", F.lit("fixture").alias("source_doc"), F.lit(FOUNDED).cast("timestamp").alias("created_at")))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,12 @@ def _parsed(lines: DataFrame, kind: str, ddl: str) -> DataFrame:
     return rows.select(*(pick(n, t) for n, t in _names(ddl)), "seq")
 
 
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """value, seq of every line; seq orders them by file, block, and place in the block, whatever order the files are read in."""
+    at = F.concat_ws("\x01", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    return spark.read.text(paths).select("value", at.alias("seq"))
+
+
 def digest(header: dict, lines: DataFrame) -> str:
     """SHA-256 over the header and the sum, modulo 2**128, of the MD5 sums of all lines."""
     half = lambda at: F.sum(F.conv(F.substring(F.md5("value"), at, 15), 16, 10).cast("decimal(38,0)"))
@@ -74,6 +80,38 @@ def export_snapshot(g: Graph, path: str, exported_at: datetime, schema_version:
     return {"snapshot_id": at, "created_at": exported_at, "schema_version": schema_version, "entity_count": counts[0], "relationship_count": counts[1], "db_checksum": header["checksum"], "backup_path": path, "integrity_status": "ok"}
 
 
+def export_file(g: Graph, path: str, exported_at: datetime, schema_version: int, most: int = 1_000_000) -> dict:
+    """Writes a snapshot as one file, which other tools read too; returns its header.
+
+    The text passes through the driver, so more than ``most`` records are refused: they take ``export_snapshot``.
+    """
+    spark = g.entities.sparkSession
+    parts = [
+        _record(g.entities.orderBy("created_at", "name"), "entity", ENTITY),
+        _record(g.relationships.orderBy("created_at", "source_name", "target_name", "rel_type"), "relationship", EDGE),
+        _record(g.memory_ids.orderBy("entity_id", "memory_id"), "memory_id", MEMORY),
+    ]
+    counts = [p.count() for p in parts]
+    if sum(counts) > most:
+        raise ValueError(f"{sum(counts)} records: too many for one file")
+    rest = "".join(f"{r.value}\n" for p in parts for r in p.toLocalIterator())
+    header = {"type": "graph_snapshot", "schema_version": schema_version, "exported_at": exported_at.isoformat(), "entity_count": counts[0], "relationship_count": counts[1], "memory_id_count": counts[2]}
+    header["checksum"] = hashlib.sha256((json.dumps(header) + "\n" + rest).encode()).hexdigest()
+    write_text(spark, path, json.dumps(header) + "\n" + rest)
+    return header
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of that text, on any file system."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def verified(spark: SparkSession, path: str) -> bool:
     """Whether the snapshot's checksum is right; one without a checksum is taken as it is."""
     head = spark.read.text(f"{path}/part=0").first()
@@ -104,7 +142,7 @@ def import_snapshot(g: Graph, path: str, mode: str = "merge") -> Graph:
         whole, parts = verified(spark, path), [f"{path}/part={i}" for i in (1, 2, 3)]
     if not whole:
         raise ValueError(f"checksum mismatch in {path}")
-    lines = spark.read.text(parts).select("value", F.monotonically_increasing_id().alias("seq"))
+    lines = _lines(spark, parts)
     if mode == "replace":
         g = Graph(*(df.limit(0) for df in (g.entities, g.relationships, g.memory_ids)))
     e, r, m = (_parsed(lines, k, ddl) for k, ddl in _KINDS.items())
@@ -126,7 +164,7 @@ def export_sync(g: Graph, folder: str, agent: str, exported_at: datetime) -> str
 
 def merge_shared(g: Graph, path: str, seen_at: datetime) -> tuple[Graph, DataFrame]:
     """The graph after another agent's file: what is there already stays. Also: lines by record type."""
-    lines = g.entities.sparkSession.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+    lines = _lines(g.entities.sparkSession, path)
     at = F.lit(seen_at)
     e = _parsed(lines, "entity", ENTITY).where("name IS NOT NULL")
     e = e.withColumns({"type": F.coalesce("type", F.lit("concept")), "domain": F.coalesce("domain", F.lit("general")), "confidence": F.coalesce("confidence", F.lit(0.5)), "mention_count": F.coalesce("mention_count", F.lit(1)), "first_seen": F.coalesce("first_seen", at), "last_seen": F.coalesce("last_seen", at), "created_at": F.coalesce("created_at", at)})

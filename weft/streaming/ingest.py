@@ -51,16 +51,18 @@ class Breaker:
     def __init__(self, threshold: int = 3, reset: float = 300.0, clock: Callable[[], float] = time.monotonic):
         self.threshold, self.reset, self.clock = threshold, reset, clock
         self.failures, self.open_since = 0, None
+        self.error: Exception | None = None
 
     def call(self, work: Callable[[], None]) -> str:
-        """'done', 'failed' or 'open'."""
+        """'done', 'failed' or 'open'; what was raised last is in ``error``."""
         if self.open_since is not None:
             if self.clock() - self.open_since < self.reset:
                 return "open"
             self.failures, self.open_since = 0, None
         try:
             work()
-        except Exception:  # noqa: BLE001  counted; the stream goes on
+        except Exception as e:  # noqa: BLE001  counted; what becomes of the batch is the caller's affair
+            self.error = e
             self.failures += 1
             if self.failures >= self.threshold:
                 self.open_since = self.clock()
@@ -74,17 +76,27 @@ def every(n: int) -> Callable[[int], bool]:
     return lambda batch_id: n > 0 and batch_id > 0 and batch_id % n == 0
 
 
-def ingest(messages: DataFrame, store_batch: Callable[[DataFrame, int], None], checkpoint: str, breaker: Breaker | None = None, maintain: Callable[[int], None] | None = None, due: Callable[[int], bool] = every(0)) -> DataStreamWriter:
+def ingest(messages: DataFrame, store_batch: Callable[[DataFrame, int], None], checkpoint: str, breaker: Breaker | None = None, maintain: Callable[[int], None] | None = None, due: Callable[[int], bool] = every(0), dead_letter: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
     """A writer that hands each micro-batch of windows to ``store_batch``; ``maintain`` runs after batches that are ``due``.
 
-    Offsets and state are checkpointed: a batch that a crash cuts off is handed over again.  One whose
-    ``store_batch`` raises is counted by the breaker and passed over, as are all while it is open.  The
-    source's rate limit takes the place of a bounded queue.
+    Offsets and state are checkpointed: a batch that a crash cuts off is handed over again, so
+    ``store_batch`` must bear to see one twice.  What ``store_batch`` raises stops the query before its
+    offsets are committed; started again, it hands the same batch over.  With ``dead_letter`` the query
+    goes on: the batch goes there, as do all while the breaker is open, and none is lost; what
+    ``dead_letter`` raises stops the query.  The source's rate limit takes the place of a bounded queue.
     """
     guard = breaker or Breaker()
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        guard.call(lambda: store_batch(df, batch_id))
+        if dead_letter is None:
+            store_batch(df, batch_id)
+        else:
+            df = df.persist()
+            try:
+                if guard.call(lambda: store_batch(df, batch_id)) != "done":
+                    dead_letter(df, batch_id)
+            finally:
+                df.unpersist()
         if maintain and due(batch_id):
             maintain(batch_id)
 
