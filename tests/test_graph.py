@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import names
-from weft.functions.extract import JsonExtractor, RuleExtractor
+from weft.functions.extract import JsonExtractor, Retried, RuleExtractor
 from weft.operators import dream, fuzzy, graph, health, ingest, merge, recall, search
 from weft.operators.graph import Graph
 from weft.sources import files, jsonl
@@ -354,6 +355,7 @@ def test_stream(spark, tmp_path):
     source.mkdir()
     for k in range(6):  # one message a file: the state must buffer
         (source / f"{k}.json").write_text(json.dumps({"session_id": "s", "idx": k, "role": "user", "text": f"a message of some length, number {k}"}) + "\n")
+        os.utime(source / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files come in order of these
     got = []
     q = stream.ingest(stream.read_messages(spark, str(source), 1), lambda df, _: got.extend(df.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -371,3 +373,77 @@ def test_breaker_and_triggers():
     assert [stream.every(50)(i) for i in (0, 49, 50, 100)] == [False, False, True, True] and not stream.every(0)(50)
     held, due = stream.window_step([], [(0, "x" * 30), (1, "y" * 30)])
     assert due is None and stream.window_step(held, [(1, "y" * 30), (2, "z")])[1][0] == 3
+
+
+def test_late_messages_and_failing_stores_lose_nothing(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for at, k in enumerate((0, 1, 3, 2, 4, 5, 1)):  # 2 comes late, 1 again
+        (source / f"{at}.json").write_text(json.dumps({"session_id": "s", "idx": k, "role": "user", "text": f"a message of some length, number {k}"}) + "\n")
+        os.utime(source / f"{at}.json", (1_700_000_000 + at, 1_700_000_000 + at))
+    got, calls = {}, []
+
+    def store(df, batch_id):
+        rows = df.collect()
+        if rows:
+            calls.append(batch_id)
+            if len(calls) == 1:
+                raise RuntimeError("no store")
+        got[batch_id] = rows
+
+    def run():
+        q = stream.ingest(stream.read_messages(spark, str(source), 1), store, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception:  # noqa: BLE001
+            return False
+        return True
+
+    assert not run() and run()  # the batch that failed is handed over again
+    texts = [r.text for b in sorted(got) for r in got[b]]
+    assert [sorted(int(line[-1]) for line in t.split("\n")) for t in texts] == [[0, 1, 3], [2, 4, 5]] and calls[0] == calls[1]
+    dead = []
+    q = stream.ingest(stream.read_messages(spark, str(source), 1), lambda df, _: 1 / 0, str(tmp_path / "cp2"), stream.Breaker(1), dead_letter=lambda df, _: dead.extend(df.collect())).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and [r.text for r in dead] == texts
+
+
+def test_import_order_is_that_of_files_and_lines(spark, tmp_path):
+    """Later lines win, whatever the sizes of the files: Spark reads the largest first."""
+    e = lambda name, c: json.dumps({"record_type": "entity", "entity_id": f"id-{name}", "name": name, "type": "tool", "domain": "work", "confidence": c, "mention_count": 1})
+    at = tmp_path / "x.jsonl"
+    at.mkdir()
+    (at / "part-0.txt").write_text(e("a", 0.1) + "\n")
+    (at / "part-1.txt").write_text("".join(e("a", 0.2) + "\n" for _ in range(400)) + e("a", 0.3) + "\n")
+    (at / "part-2.txt").write_text(e("a", 0.4) + "\n" + e("a", 0.5) + "\n")
+    g = world(spark, [], [])
+    out, _ = jsonl.merge_shared(g, f"file://{at}", T0)
+    assert [(r.name, r.confidence) for r in out.entities.collect()] == [("a", 0.1)]
+    lines = jsonl._lines(spark, f"file://{at}")
+    assert [r.value for r in lines.orderBy("seq").collect()] == [x for p in sorted(at.iterdir()) for x in p.read_text().splitlines()]
+
+
+def test_extractors_are_asked_again():
+    waits, calls = [], []
+
+    def flaky(prompts):
+        calls.append(list(prompts))
+        if "bad" in prompts or len(calls) == 1:
+            raise RuntimeError("busy")
+        return [p.upper() for p in prompts]
+
+    ask = Retried(flaky, times=2, wait=1.0, sleep=waits.append)
+    assert ask(["a", "b"]) == ["A", "B"] and waits == [1.0]
+    assert ask(["a", "bad", "b"]) == ["A", "", "B"]
+
+
+def test_store_keeps_what_does_not_change(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    g = world(spark, [("A", 0.5, 2)], [])
+    s.commit_graph(g)
+    s.migrate(T0)
+    assert sorted(p.name for p in (tmp_path / "s" / "v=2").iterdir()) == ["schema_meta"]
+    assert s.table("entities").count() == 1 and s.index().n == 1 and s.version() == 2
+    s.commit(entities=s.table("entities").limit(0))
+    s.vacuum()
+    assert s.table("entities").count() == 0 and s.table("postings").count() == 1 and not (tmp_path / "s" / "v=1" / "entities").exists()

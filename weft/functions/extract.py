@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -22,9 +24,12 @@ class Extractor(Protocol):
 
 
 class RuleExtractor:
-    """A deterministic extractor without a model: capitalised words are entities, neighbours in a sentence are related."""
+    """A deterministic extractor without a model: capitalised words are entities, neighbours in a sentence are related.
 
-    def __init__(self, most_entities: int = 10, most_relationships: int = 15):
+    All of them, unless limits are given.
+    """
+
+    def __init__(self, most_entities: int | None = None, most_relationships: int | None = None):
         self.most_entities, self.most_relationships = most_entities, most_relationships
 
     def __call__(self, prompts: list[str]) -> list[str]:
@@ -34,13 +39,14 @@ class RuleExtractor:
         found: dict[str, int] = {}
         edges: dict[tuple[str, str], int] = {}
         for sentence in re.split(r"[.!?\n]", prompt):
-            own = list(dict.fromkeys(re.findall(r"\b[A-Z][A-Za-z]{3,}\b", sentence)))
+            own = list(dict.fromkeys(re.findall(r"\b[A-Z][A-Za-z]{3,}\b", sentence, re.ASCII)))
             for n in own:
                 found[n] = found.get(n, 0) + 1
             for a, b in zip(own, own[1:], strict=False):
                 edges[a, b] = edges.get((a, b), 0) + 1
         best = sorted(found, key=lambda n: (-found[n], n))[: self.most_entities]
-        kept = [(a, b) for a, b in sorted(edges, key=lambda e: (-edges[e], e)) if a in best and b in best][: self.most_relationships]
+        taken = set(best)
+        kept = [(a, b) for a, b in sorted(edges, key=lambda e: (-edges[e], e)) if a in taken and b in taken][: self.most_relationships]
         entity = lambda n: {"name": n, "type": "concept", "domain": "general", "description": "", "confidence": min(1.0, 0.4 + 0.1 * found[n]), "aliases": []}
         return json.dumps({"entities": [entity(n) for n in best], "relationships": [{"source": a, "target": b, "type": "related_to", "confidence": 0.5} for a, b in kept]})
 
@@ -52,9 +58,42 @@ class JsonExtractor:
         return prompts
 
 
-def responses(prompts: DataFrame, extractor: Extractor, text_col: str = "text") -> DataFrame:
-    """``prompts`` and ``raw``: the extractor's answer to the first characters of each text."""
-    cut = prompts.withColumn(text_col, texts.prompt_text(F.col(text_col)))
+class Retried:
+    """An extractor asked again, ``times`` in all and after waits that double, when it raises; what still fails has the answer ''.
+
+    '' doesn't parse: it is counted as failed, and its source is tried again by a later run.  A batch
+    that raises is asked prompt by prompt, so that one bad prompt costs no other its answer.
+    ``between``: least seconds from one call to the next.
+    """
+
+    def __init__(self, inner: Extractor, times: int = 3, wait: float = 1.0, between: float = 0.0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.inner, self.times, self.wait, self.between, self.sleep, self.clock = inner, times, wait, between, sleep, clock
+        self.last: float | None = None
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        try:
+            return self._asked(prompts)
+        except Exception as e:  # noqa: BLE001  whatever a model's client raises
+            logging.getLogger(__name__).warning("extractor failed on %d prompts: %s", len(prompts), e)
+            return [""] if len(prompts) == 1 else [x for p in prompts for x in self([p])]
+
+    def _asked(self, prompts: list[str]) -> list[str]:
+        for k in range(self.times):
+            if self.last is not None and (early := self.between - (self.clock() - self.last)) > 0:
+                self.sleep(early)
+            self.last = self.clock()
+            try:
+                return self.inner(prompts)
+            except Exception:  # noqa: BLE001
+                if k == self.times - 1:
+                    raise
+                self.sleep(self.wait * 2**k)
+        return []
+
+
+def responses(prompts: DataFrame, extractor: Extractor, text_col: str = "text", chars: int | None = texts.PROMPT_CHARS) -> DataFrame:
+    """``prompts`` and ``raw``: the extractor's answer to the first ``chars`` characters of each text (None: to all of it)."""
+    cut = prompts if chars is None else prompts.withColumn(text_col, texts.prompt_text(F.col(text_col), chars))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

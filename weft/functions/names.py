@@ -120,6 +120,11 @@ def entity_id(name: Column) -> Column:
     return F.substring(F.md5(name), 1, 16)
 
 
+def sequence(*columns: str) -> Column:
+    """A number below 2**60 that depends on the values alone: an order of records that no run changes."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *columns)), 1, 15), 16, 10).cast("long")
+
+
 def aliases_of(text: Column) -> Column:
     """An alias list from JSON text; bad JSON is an empty list."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

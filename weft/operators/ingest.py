@@ -32,12 +32,12 @@ def session_windows(messages: DataFrame, states: DataFrame, most: int = WINDOW,
     return out.where(F.length("text") >= chars)
 
 
-def extract_and_store(g: Graph, prompts: DataFrame, extractor: Extractor, seen_at: datetime, resolve_endpoints: bool = False, mode: str = "strict") -> tuple[Graph, DataFrame]:
+def extract_and_store(g: Graph, prompts: DataFrame, extractor: Extractor, seen_at: datetime, resolve_endpoints: bool = False, mode: str = "strict", chars: int | None = texts.PROMPT_CHARS) -> tuple[Graph, DataFrame]:
     """The graph after the texts of prompts (source, session_id, seq, text); and stored, rejected and edges by source.
 
     ``resolve_endpoints``: ends of edges take the spelling of the entity that their canonical form belongs to.
     """
-    answers = shared_table(responses(prompts.select("source", "session_id", "seq", "text"), extractor).drop("text"))
+    answers = shared_table(responses(prompts.select("source", "session_id", "seq", "text"), extractor, chars=chars).drop("text"))
     keys = ["source", "session_id", "seq"]
     e = shared_table(entity_records(answers, keys))
     r = relationship_records(answers, keys)
@@ -65,16 +65,16 @@ def resolved(edges: DataFrame, entities: DataFrame, mode: str = "strict") -> Dat
     return edges
 
 
-def ingest_sessions(g: Graph, states: DataFrame, messages: DataFrame, extractor: Extractor, seen_at: datetime) -> tuple[Graph, DataFrame, DataFrame]:
+def ingest_sessions(g: Graph, states: DataFrame, messages: DataFrame, extractor: Extractor, seen_at: datetime, chars: int | None = texts.PROMPT_CHARS) -> tuple[Graph, DataFrame, DataFrame]:
     """Graph and session states after the next window of every session, and the report by session."""
     windows = shared_table(session_windows(messages, states))
-    order = windows.select("session_id", "msg_index", F.xxhash64("session_id", "msg_index").alias("seq"), "text").withColumn("source", F.col("session_id"))
-    g, report = extract_and_store(g, order, extractor, seen_at)
+    order = windows.select("session_id", "msg_index", names.sequence("session_id", "msg_index").alias("seq"), "text").withColumn("source", F.col("session_id"))
+    g, report = extract_and_store(g, order, extractor, seen_at, chars=chars)
     moved = merge.update_sessions(states, windows.select("session_id", "msg_index", F.lit(seen_at).alias("at"), F.col("msg_index").alias("seq")))
     return g, moved, report
 
 
-def backfill(g: Graph, done: DataFrame, files: DataFrame, extractor: Extractor, seen_at: datetime, most_chunks: int = texts.MAX_CHUNKS) -> tuple[Graph, DataFrame]:
+def backfill(g: Graph, done: DataFrame, files: DataFrame, extractor: Extractor, seen_at: datetime, most_chunks: int = texts.MAX_CHUNKS, chars: int | None = texts.PROMPT_CHARS) -> tuple[Graph, DataFrame]:
     """The graph and the checkpoint after the files (source, file_path, text) that aren't processed yet.
 
     Texts under 50 characters count as processed; files of too many chunks fail, as do those whose
@@ -85,8 +85,8 @@ def backfill(g: Graph, done: DataFrame, files: DataFrame, extractor: Extractor,
     state = F.when(F.col("text").isNull() | short, "short").when(F.size("chunks") > most_chunks, "large").otherwise("take")
     todo = shared_table(todo.withColumn("state", state).select("source", "file_path", "state", "chunks"))
     key = F.concat_ws("\x1f", "source", "file_path")
-    prompts = todo.where("state = 'take'").select(key.alias("source"), F.lit(None).cast("string").alias("session_id"), F.posexplode("chunks").alias("at", "text")).withColumn("seq", F.xxhash64("source", "at")).drop("at")
-    g, report = extract_and_store(g, prompts, extractor, seen_at)
+    prompts = todo.where("state = 'take'").select(key.alias("source"), F.lit(None).cast("string").alias("session_id"), F.posexplode("chunks").alias("at", "text")).withColumn("seq", names.sequence("source", "at")).drop("at")
+    g, report = extract_and_store(g, prompts, extractor, seen_at, chars=chars)
     counted = todo.join(report.withColumnRenamed("source", "__key"), F.col("__key") == key, "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     silent = (F.col("state") == "take") & (n("stored") == 0) & (n("rejected") == 0)

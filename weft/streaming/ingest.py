@@ -29,20 +29,25 @@ def window_step(held: list[tuple[int, str]], new: list[tuple[int, str]], most: i
 def windows(messages: DataFrame, most: int = WINDOW, least: int = MIN_MESSAGES) -> DataFrame:
     """Streaming counterpart of the batch windows: session_id, msg_index, text whenever ``least`` new messages are there.
 
-    A session's state is its next index and the messages that wait, so micro-batches of single messages lose nothing.
+    A session's state is its next index, the indices before it that haven't come, and the messages that
+    wait: micro-batches of single messages lose nothing, messages that come late go into the next window,
+    and those that come again are dropped.
     """
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (0, "[]")
-        held = [tuple(x) for x in json.loads(waiting)]
-        new = [(int(i), f"{r}: {t}") for b in batches for i, r, t in zip(b["idx"], b["role"], b["text"], strict=True) if i >= last]
+        last, missing, waiting = state.get if state.exists else (0, "[]", "[]")
+        held, gaps = [tuple(x) for x in json.loads(waiting)], set(json.loads(missing))
+        new = [(int(i), f"{r}: {t}") for b in batches for i, r, t in zip(b["idx"], b["role"], b["text"], strict=True) if i >= last or i in gaps]
+        seen = {i for i, _ in held + new}
         held, due = window_step(held, new, most, least)
         if due:
-            last = due[0]
-            yield pd.DataFrame({"session_id": [key[0]], "msg_index": [due[0]], "text": [due[1]]})
-        state.update((last, json.dumps(held)))
+            nxt = max(last, due[0])
+            gaps = (gaps | set(range(last, nxt))) - seen
+            last = nxt
+            yield pd.DataFrame({"session_id": [key[0]], "msg_index": [last], "text": [due[1]]})
+        state.update((last, json.dumps(sorted(gaps)), json.dumps(held)))
 
-    return messages.groupBy("session_id").applyInPandasWithState(step, PROMPT, "last long, waiting string", "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(step, PROMPT, "last long, missing string, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 class Breaker:
