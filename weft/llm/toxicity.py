@@ -6,14 +6,16 @@ longer words (``HEADS``), so that a stem counts in all its forms.  The score is
 adds beyond the two alone, such as an insult and the mention of a group, or two rare stems.
 
 Training takes at most ``MAX_LABELLED`` labelled documents (those with the smallest hash of doc_id, so
-the sample does not depend on how the data lies); every seventh of them is held out to set the
+the sample does not depend on how the data lies, and of one doc_id at most ``MAX_TEXTS`` different texts,
+those with the smallest hash); every seventh of them is held out to set the
 decision threshold.  Terms that fewer than ``MIN_DOCS`` sampled documents hold are left out, and of
-the others the ``MAX_TERMS`` most associated with the label are kept.  The model is a fixed-size table;
-every document is scored on its whole text.
+the others ``MAX_TERMS`` are kept: those most associated with the label, and ``PAIR_TERMS`` that are so in
+pairs (``pair_strength``), be they neutral alone.  The model is a fixed-size table; every document is
+scored on its whole text.
 
 Defined cases: a null text scores as an empty one; a null doc_id is scored and comes back null; rows
 with several labels count as toxic if any says so; null labels are ignored; repeated rows are scored
-alike.  With no label of one class at all, every score is that class's rate and nothing is flagged.
+alike and train once, and of rows that share a doc_id with a label each different text trains.  With no label of one class at all, every score is that class's rate and nothing is flagged.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm import _shared, _text
 
 HEADS = (4, 6)
 MAX_LABELLED = 12_000
+MAX_TEXTS = 8
 MIN_DOCS = 3
 MAX_TERMS = 8192
+PAIR_TERMS = 1024
+SKETCHES = 48
 FACTORS = 8
 STEPS = 150
 RATE = 0.05
@@ -86,6 +91,24 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def pair_strength(index: np.ndarray, rows: np.ndarray, n_terms: int, y: np.ndarray) -> np.ndarray:
+    """How far each term's pairs with all other terms go with the label, against what chance gives.
+
+    With labels r less their mean, and M_ij the sum of r over the rows that hold i and j, the sum of
+    M_ij ** 2 over j is estimated from ``SKETCHES`` random signs of the terms, without forming a pair.
+    """
+    r = y - y.mean()
+    rng = np.random.default_rng(11)
+    own = np.bincount(index, r[rows], n_terms)
+    total = np.zeros(n_terms)
+    for _ in range(SKETCHES):
+        sign = rng.integers(0, 2, n_terms) * 2.0 - 1
+        total += (np.bincount(index, (r * np.bincount(rows, sign[index], len(y)))[rows], n_terms) - sign * own) ** 2
+    length = np.bincount(rows, minlength=len(y))
+    chance = np.bincount(index, (r * r * np.maximum(length - 1, 0))[rows], n_terms)
+    return (total / SKETCHES - chance) / np.maximum(chance, 1e-9) * np.sqrt(np.bincount(index, minlength=n_terms))
+
+
 def train(terms: np.ndarray, first: np.ndarray, y: np.ndarray, held: np.ndarray) -> Machine:
     """Fits the machine by full-batch Adam on the rows that aren't ``held``; the threshold has the best F1 on those that are."""
     y = y.astype(np.float64)
@@ -103,8 +126,10 @@ def train(terms: np.ndarray, first: np.ndarray, y: np.ndarray, held: np.ndarray)
     expected = df * positive / n
     chi = (hits - expected) ** 2 / (expected * (1 - positive / n) * np.maximum(1 - df / n, 1e-9))
     chi[df < MIN_DOCS] = -1
-    best = np.lexsort((vocabulary, -chi))[:MAX_TERMS]
-    best = np.sort(best[chi[best] >= 0])
+    strength = pair_strength(code, row[inside], len(vocabulary), np.where(fit, y, positive / n))
+    strength[df < MIN_DOCS] = -np.inf
+    best = np.union1d(np.lexsort((vocabulary, -chi))[: MAX_TERMS - PAIR_TERMS], np.lexsort((vocabulary, -strength))[:PAIR_TERMS])
+    best = best[chi[best] >= 0]
     m = Machine(vocabulary[best], empty.bias, np.zeros(len(best)), np.random.default_rng(7).normal(0, 0.02, (len(best), FACTORS)))
     if not len(best):
         return empty
@@ -161,19 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id IS NOT NULL AND __toxic IS NOT NULL").groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     sample = known.withColumn("__order", F.xxhash64("__id")).orderBy("__order", "__id").limit(max_labelled).drop("__order")
     joined = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id")
+    joined = joined.withColumn("__text", F.xxhash64("text")).dropDuplicates(["__id", "__text"])  # the driver sees no row twice
+    few = Window.partitionBy("__id").orderBy("__text")
+    joined = joined.withColumn("__n", F.row_number().over(few)).where(F.col("__n") <= MAX_TEXTS)
 
     def run(batches):
         for batch in _text.slices(batches, "text", 4 << 20):
             terms, first = terms_of(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(terms))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["doc_id", "toxic", "th", "terms"])
 
-    t = joined.select("__id", "text", "__toxic").mapInArrow(run, "doc_id long, toxic int, terms array<long>").toArrow().combine_chunks()
+    t = joined.select("__id", "text", "__toxic", F.coalesce("__text", F.lit(0).cast("long"))).mapInArrow(run, "doc_id long, toxic int, th long, terms array<long>").toArrow().combine_chunks()
     ids, y = t.column(0).to_numpy(), t.column(1).to_numpy()
-    order = np.argsort(ids, kind="stable")
-    kept = np.append(True, ids[order][1:] != ids[order][:-1]) if len(ids) else np.zeros(0, bool)
-    order = order[kept]  # of repeated rows one
-    lists = t.column(2).combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int64()))
+    order = np.lexsort((t.column(2).to_numpy(), ids))
+    lists = t.column(3).combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int64()))
     first = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), np.int64)))).astype(np.int64) if len(order) else np.zeros(1, np.int64)
     held = (_text.mix(ids[order].view(np.uint64)) % np.uint64(7) == 0) if len(order) else np.zeros(0, bool)
     return train(np.asarray(lists.flatten(), np.int64), first, y[order].astype(np.float64), held)
