@@ -13,13 +13,16 @@ Decoding joins the pieces' bytes and drops the first space.  U+2581 in the text
 bytes, so it isn't taken for a space: decode(encode(x)) = x for every string.
 
 Defined cases: a null text has null ids and an empty one the ids of the space alone; a null doc_id is a
-row key of its own; repeated rows are segmented alike; texts of any length are encoded whole.
+row key of its own; repeated rows are segmented alike; texts of any length are encoded whole.  Units of
+over ``LONG`` bytes (base64, scripts without spaces) have the same lattice and draws, but are filtered one
+by one, a block of edges at a time, and only the forward scores of all places are kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ _NODES = 1 << 19  # lattice nodes worked on together
 _MAYBE = 16  # bits of the filter before the search for a piece
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = -1e30
+LONG = 512
+_BLOCK = 1 << 16  # places of a long unit whose edges are held at once
+_RESCALE = 32
 
 
 @dataclass
@@ -185,6 +191,92 @@ def _lattice(m: Model, data: np.ndarray, first: np.ndarray) -> _Lattice:
     return _Lattice(lengths, flat(ids_at, np.int32), flat(chance, float), places, wide)
 
 
+def _owned(m: Model, data: np.ndarray) -> np.ndarray:
+    """For every byte, whether its character has a piece of its own."""
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(begin, len(data)))
+    out = np.zeros(len(begin), bool)
+    for k in range(1, 5):
+        if k in m.by_length:
+            hashes = m.by_length[k][0]
+            which = np.flatnonzero(size == k)
+            for at in range(0, len(which), 1 << 18):
+                part = which[at : at + (1 << 18)]
+                h = _plain_hashes(data, begin[part], k)
+                out[part] = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+    return np.repeat(out, size)
+
+
+def _edges(m: Model, data: np.ndarray, owned: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a unit that end at depths from ``low`` + 1 to ``high``, by depth and length: depth, length, piece."""
+    longest = max(m.by_length)
+    front = max(0, low - longest)
+    part = data[front:high]
+    power, inverse = _text._power_tables(len(part) + 1)
+    total = np.zeros(len(part) + 1, np.uint64)
+    found = []
+    with np.errstate(over="ignore"):
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+        for k, (hashes, known, maybe) in m.by_length.items():
+            depth = np.arange(max(low + 1, k), high + 1)
+            if not len(depth):
+                continue
+            h = (total[depth - front] - total[depth - front - k]) * inverse[depth - front - k]
+            hit = np.flatnonzero(maybe[(h * _SPREAD) >> np.uint64(64 - _MAYBE)])
+            place = np.minimum(np.searchsorted(hashes, h[hit]), len(hashes) - 1)
+            ok = hashes[place] == h[hit]
+            found.append((depth[hit[ok]], np.full(ok.sum(), k), known[place[ok]]))
+    raw = np.flatnonzero(~owned[low:high]) + low
+    depth, length, ids = (np.concatenate(x) for x in zip(*found, (raw + 1, np.ones(len(raw), int), m.byte_id[data[raw]]), strict=True))
+    order = np.lexsort((length, depth))
+    return depth[order], length[order], ids[order]
+
+
+def _sample_long(m: Model, data: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """Pieces of one long unit, drawn anew for each of its occurrences, whose draws ``keys`` seed."""
+    n, owned, longest = len(data), _owned(m, data), max(m.by_length)
+    log = np.full(n + 1, -np.inf)
+    log[0] = 0.0
+    for low in range(0, n, _BLOCK):
+        high = min(n, low + _BLOCK)
+        depth, length, ids = _edges(m, data, owned, low, high)
+        weight = np.exp(m.weight[ids]).tolist()
+        cuts = np.searchsorted(depth, np.arange(low, high + _RESCALE, _RESCALE), "right").tolist()
+        depths, lengths = depth.tolist(), length.tolist()
+        for k, at in enumerate(range(low, high, _RESCALE)):
+            stop = min(high, at + _RESCALE)
+            front = max(0, at - longest)
+            top = log[front : at + 1].max()
+            a = [*np.exp(log[front : at + 1] - top).tolist(), *[0.0] * (stop - at)]
+            for i in range(cuts[k], cuts[k + 1]):
+                d = depths[i] - front
+                a[d] += a[d - lengths[i]] * weight[i]
+            with np.errstate(divide="ignore"):
+                log[at + 1 : stop + 1] = np.log(a[at + 1 - front :]) + top
+    out = []
+    for key in keys:
+        chosen, d, low, step = [], n, n, 0
+        while d:
+            if d <= low:  # the block of edges before
+                low = max(0, d - _BLOCK)
+                depth, length, ids = _edges(m, data, owned, low, d)
+                first = np.searchsorted(depth, np.arange(low, d + 2)).tolist()
+                score, lengths, pieces = (m.weight[ids] + log[depth - length] - log[depth]).tolist(), length.tolist(), ids.tolist()
+            if step % 4096 == 0:
+                with np.errstate(over="ignore"):
+                    draws = ((_text.mix(key + np.arange(step, step + 4096, dtype=np.uint64), 5) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            u, i, last = draws[step % 4096], first[d - low], first[d - low + 1] - 1
+            u -= exp(score[i])
+            while u >= 0 and i < last:  # to the next longer edge
+                i += 1
+                u -= exp(score[i])
+            chosen.append(pieces[i])
+            d -= lengths[i]
+            step += 1
+        out.append(np.array(chosen[::-1], np.int32))
+    return out
+
+
 def sample(m: Model, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, and the row offsets into them."""
     data, offs = _text.buffer(texts)
@@ -213,7 +305,13 @@ def sample(m: Model, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tup
     occurs = np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(pick)))))
     reach = np.cumsum(size)
     who, step_of, piece = [], [], []
-    a = 0
+    a = int(np.searchsorted(-size, -LONG))  # units above LONG come first
+    for k in range(a):
+        occ = by_unit[occurs[k] : occurs[k + 1]]
+        for o, found in zip(occ, _sample_long(m, data[start[pick[k]] : end[pick[k]]], key[occ]), strict=True):
+            who.append(np.full(len(found), o))
+            step_of.append(np.arange(len(found), dtype=np.int32)[::-1])
+            piece.append(found)
     while a < len(pick):
         b = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + _NODES, "right")))
         lens = size[a:b]
