@@ -31,12 +31,13 @@ from weft.llm import _shared, _text
 DOMAINS = [f"{name}.example.{top}" for name in ("casino-win", "spam-farm", "ads-track", "adult-x", "cheap-pills", "free-bets") for top in ("com", "net", "org")]
 DIGEST_SEED = 42  # that of Spark's xxhash64
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-_PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)"
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _HOST, 1))
+    """Lower case, without closing dots; an IPv6 address keeps its brackets; a URL without a scheme (//host/path) has one, too."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), "\\.+$", "")
 
 
 def canonical(url: Column) -> Column:
@@ -142,7 +143,7 @@ def filter_pages(pages: DataFrame, domains: list[str] | None = None) -> DataFram
     return block(pages, build(listed.unionByName(crawled_twice(pages))))
 
 
-_SQL_HOST = f"lower(regexp_extract(url, '{_HOST}', 1))"
+_SQL_HOST = f"regexp_replace(lower(regexp_extract(url, '{_HOST}', 1)), '\\.+$', '')"
 FILTER_SQL = f"""
 WITH p AS (SELECT page_id, url, {_SQL_HOST} AS h, {_SQL_HOST} || regexp_replace(regexp_extract(url, '{_PATH}', 1), '/+$', '') AS c FROM pages),
 e AS (SELECT 'u:' || c AS entry FROM p WHERE h <> '' GROUP BY c HAVING count(*) > 1 UNION SELECT * FROM (VALUES {", ".join(f"('d:{d}')" for d in DOMAINS)}) AS v(entry)),
