@@ -162,9 +162,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b), a < b, between near-duplicates; see ``block_edges``."""
-    same = prints.groupBy(*_FP).agg(F.min("doc_id").alias("a"), F.collect_set("doc_id").alias("ids"), F.min_by("keys", "doc_id").alias("keys"))
-    same = _shared.table(same, "prints")
-    exact = same.where("size(ids) > 1").select("a", F.explode("ids").alias("b")).where("a <> b")
+    prints = _shared.table(prints, "prints")
+    same = prints.groupBy(*_FP).agg(F.min("doc_id").alias("a"), F.count("*").alias("n"), F.min_by("keys", "doc_id").alias("keys"))
+    same = _shared.table(same, "distinct-prints")
+    exact = prints.select("doc_id", *_FP).join(same.where("n > 1").select("a", *_FP), _FP).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
 
     def run(batches):
         t = _text.gather(batches)
@@ -194,17 +195,18 @@ def edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of ``links`` (a, b), roots included.
 
-    Alternating large-star and small-star steps; each round's links are a table in the shared folder.
+    Alternating large-star and small-star steps, each a minimum by node and a join; each round's links are
+    a table in the shared folder.
     """
     now = _shared.table(links, "links")
     seen = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs")).select("a", F.least("a", "m").alias("m"), "bs")
-        large = low.select("m", F.explode("bs").alias("b"), "a").where("b > a AND m <> b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-        grouped = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = grouped.select("m", F.explode(F.array_union("vs", F.array("u"))).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
-        now = _shared.table(small, "links")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = _shared.table(both.join(low, "a").where("b > a AND m <> b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select("m", F.col("v").alias("b")).union(least.select("m", "u"))
+        now = _shared.table(small.select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "links")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
