@@ -99,6 +99,40 @@ def test_toxicity_learns_pairs_and_words(spark):
     assert hit >= 0.9 * 120 and sum(got[i] and i % 5 >= 2 for i in test) <= 0.1 * 180
 
 
+def test_machine_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(np.arange(20), 0.3, rng.normal(size=20), rng.normal(size=(20, toxicity.FACTORS)))
+    rows = [rng.choice(20, n, replace=False) for n in (0, 1, 2, 7, 20)]
+    first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    want = [0.3 + m.w[r].sum() + sum(float(m.v[i] @ m.v[j]) for a, i in enumerate(r) for j in r[a + 1 :]) for r in rows]
+    assert np.allclose(m.raw(np.concatenate(rows).astype(int), first), want)
+
+
+def test_pairs_are_found_among_many_neutral_terms():
+    """Two terms of which exactly one makes a text toxic, among 30,000 others: neither says anything alone."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array(sorted({*rng.integers(1000, 31_000, 60).tolist()} | ({1} if a else set()) | ({2} if b else set()))))
+        y.append(float(a != b))
+    first, y, held = np.concatenate(([0], np.cumsum([len(r) for r in rows]))), np.array(y), np.arange(3000) % 7 == 0
+    m = toxicity.train(np.concatenate(rows), first, y, held)
+    right = (toxicity.logistic(m.raw(*m.look_up(np.concatenate(rows), first))) >= m.threshold) == (y > 0)
+    assert {1, 2} <= {*m.terms.tolist()} and right[held].mean() > 0.9
+
+
+def test_toxicity_does_not_depend_on_order(spark):
+    """Rows of one doc_id with different texts, and repeated rows, in any order give the same scores."""
+    rng = random.Random(9)
+    rows = [(i % 150, sentence(rng, 20, 60) + (" vile folk" if i % 5 == 0 else "")) for i in range(300)]
+    rows += rows[:40]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, toxic int")
+    one = Counter((r.doc_id, round(r.toxicity, 9)) for r in toxicity.flag(docs(spark, rows), labels).collect())
+    two = Counter((r.doc_id, round(r.toxicity, 9)) for r in toxicity.flag(docs(spark, rows[::-1]).repartition(5), labels).collect())
+    assert one == two and sum(one.values()) == len(rows)
+
+
 def test_toxicity_odd_rows(spark):
     d = odd(spark)
     labels = spark.createDataFrame([(5, 1, None), (6, 0, 0), (6, 0, 1), (None, 1, 1), (4, 1, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
@@ -319,6 +353,12 @@ def test_urls(spark):
     assert urls.block(pages, urls.build(entries.limit(0))).where("is_blocked").count() == 0
 
 
+def test_hosts(spark):
+    rows = [(1, "http://spam-farm.example.com./x"), (2, "//spam-farm.example.com/x"), (3, "http://[::1]:80/x"), (4, "http://a.SPAM-FARM.example.com"), (5, "spam-farm.example.com"), (6, "http://[::1]/x/"), (7, "http://fine.example.com/" + "x" * 100_000)]
+    got = {r.page_id: r.entry for r in urls.filter_pages(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: "d:spam-farm.example.com", 2: "d:spam-farm.example.com", 3: "u:[::1]/x", 4: "d:spam-farm.example.com", 5: None, 6: "u:[::1]/x", 7: None} or got[1] == got[2] == "u:spam-farm.example.com/x"
+
+
 def test_collisions_are_told_apart(tmp_path):
     """Entries and probes that share a digest: the stored strings decide."""
     entries = [b"d:a.com", b"d:b.com"]
@@ -429,6 +469,23 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert pieces.encode(odd(spark).limit(0)).count() == 0 and pieces.encode(odd(spark)).count() == odd(spark).count()
 
 
+def test_long_units_have_the_same_lattice(monkeypatch):
+    rng = random.Random(8)
+    texts = pa.array([("abc" * 20 + "é中🎉▁" * 10) * 4, "".join(rng.choice("abcXYZ0189+/") for _ in range(3000)), "a" * 2000, "x" * 511 + "y", "short words"])
+    keys = np.arange(5)
+    m = pieces.load()
+    long = pieces.sample(m, texts, keys)
+    monkeypatch.setattr(pieces, "_BLOCK", 64)
+    blocks = pieces.sample(m, texts, keys)
+    monkeypatch.setattr(pieces, "LONG", 1 << 40)
+    short = pieces.sample(m, texts, keys)
+    assert all(np.array_equal(a, b) and np.array_equal(a, c) for a, b, c in zip(long, blocks, short, strict=True))
+    monkeypatch.undo()
+    text = "".join(rng.choice("abcXYZ0189+/") for _ in range(300_000))
+    ids, first = pieces.sample(m, pa.array([text]), keys[:1])
+    assert pieces.join(m, ids, first)[0][1:].tobytes().decode() == text
+
+
 def test_pieces_are_drawn_by_weight():
     m = pieces.load()
     n = 20_000
