@@ -5,10 +5,11 @@ the next seed; every shard scores all of its documents against all of the seed's
 lists are merged, and the unused documents, best first (ties: smaller doc_id, then length, then hash
 of the text), fill the window as far as they fit.  A window closes when no scored document fits.
 
-Seeds are asked for in batches.  A shard answers with the head of its ranking, once for each cap on
-length, and with the score down to which each head is whole.  The driver resolves the seeds in order;
+Seeds are asked for in batches.  A shard answers with the head of its ranking, one for each class of
+lengths, and with the score down to which each head is whole.  The driver resolves the seeds in order;
 where the heads end before the window is settled, it ranks that seed against all shards in full, so
-the windows are those of a search without shards.  Work grows with seeds times postings.
+the windows are those of a search without shards.  Work grows with seeds times postings: terms in an
+eighth of a shard's documents or more are added by a matrix product, the others posting by posting.
 
 With ``shard_docs`` documents are dealt by a hash of doc_id into parts of about that many, each packed
 alone: cheaper, but neighbours in other parts are never found.  Nothing here uses it by default.
@@ -38,7 +39,9 @@ from weft.llm import _shared, _text
 
 WINDOW = 4096
 SEEDS = 256  # asked for at once, at most
-HEAD = 512  # entries of a ranking for each cap, over all shards
+HEAD = 512  # entries of a ranking for each length class, over all shards
+EIGHTH = 8
+_TOUCHED = 1 << 20  # postings added up at once
 K1, B = 1.2, 0.75
 DF_BITS = 22
 _CHUNK = 1 << 16
@@ -153,7 +156,7 @@ def _load(at: str, name: str) -> np.ndarray:
 def _invert(at: Path, doc: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
     order = np.argsort(terms, kind="stable")
     vocab, begin = np.unique(terms[order], return_index=True)
-    _save(at, posting=doc[order].astype(np.int32), weight=weight[order], vocab=vocab, begin=np.append(begin, len(order)))
+    _save(at, posting=doc[order].astype(np.int64), weight=weight[order], vocab=vocab, begin=np.append(begin, len(order)))
 
 
 def _index(root: str, df, n_docs: int, mean: float, window: int):
@@ -163,7 +166,8 @@ def _index(root: str, df, n_docs: int, mean: float, window: int):
         t = _text.gather(batches)
         if t is None:
             return
-        t = t.sort_by([("doc_id", "ascending"), ("n_words", "ascending"), ("th", "ascending")]).combine_chunks()
+        t = t.append_column("left", pa.array(t.column("n_words").to_numpy() % window))
+        t = t.sort_by([("left", "ascending"), ("doc_id", "ascending"), ("n_words", "ascending"), ("th", "ascending")]).combine_chunks()
         ids, n_words, th = (t.column(c).to_numpy() for c in ("doc_id", "n_words", "th"))
         lists = t.column("terms").combine_chunks()
         first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
@@ -192,45 +196,77 @@ def _drop_used(shard: tuple[str, np.ndarray]) -> None:
     new.rmdir()
 
 
-def _caps(window: int) -> np.ndarray:
+def _classes(window: int) -> np.ndarray:
+    """Upper bounds of the length classes: powers of two, and the window."""
     return np.array([*(1 << i for i in range((window - 1).bit_length())), window])
 
 
-def near(at: str, free: np.ndarray, asked: list[tuple[np.ndarray, int]], caps: np.ndarray, head: int) -> tuple[np.ndarray, ...]:
-    """For each seed (terms, room) and cap: the best free documents of the shard that are no longer than the cap.
+def _score(nq: int, n: int, posting: np.ndarray, weight: np.ndarray, q: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Scores of all n documents for nq seeds, from the stretches (begin, count) of postings that each seed's terms have.
 
-    Seed, cap, document and score of each, and by seed and cap the score down to which none is missing (0: none at all).
+    A stretch of over an ``EIGHTH`` of the documents becomes a row of a matrix, and those are multiplied at once.
     """
-    posting, weight, vocab, begin, left = (_load(at, n) for n in ("posting", "weight", "vocab", "begin", "left"))
-    left, vocab, begin = np.asarray(left), np.asarray(vocab), np.asarray(begin)
-    ok = np.flatnonzero(np.unpackbits(free, count=len(left)))
-    within = [ok[left[ok] <= c] for c in caps]
-    cuts, found = np.zeros((len(asked), len(caps))), []
-    for q, (terms, room) in enumerate(asked):
-        if not len(vocab):
-            break
-        t = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
-        spans = [slice(begin[i], begin[i + 1]) for i in t[vocab[t] == terms]]
-        if not spans:
+    scores = np.zeros((nq, n))
+    common = count * EIGHTH > n
+    which, at = np.unique(begin[common], return_inverse=True)
+    if len(which):
+        sizes = np.zeros(len(which), np.int64)
+        sizes[at] = count[common]
+        dense, asked = np.zeros((len(which), n)), np.zeros((nq, len(which)))
+        for i, (a, k) in enumerate(zip(which.tolist(), sizes.tolist(), strict=True)):
+            dense[i, posting[a : a + k]] = weight[a : a + k]
+        asked[q[common], at] = 1.0
+        scores = asked @ dense
+    q, begin, count = q[~common], begin[~common], count[~common]
+    ends = np.cumsum(count)
+    for low in np.arange(0, int(ends[-1]) if len(ends) else 0, _TOUCHED):  # in parts, so that work arrays stay small
+        i, j = (int(np.searchsorted(ends, low, "right")) if low else 0), int(np.searchsorted(ends, low + _TOUCHED, "right"))
+        if i == j:
             continue
-        raw = np.bincount(np.concatenate([posting[s] for s in spans]), np.concatenate([weight[s] for s in spans]), minlength=len(left))
-        score = raw.round(9)
-        for c in range(int(np.searchsorted(caps, room)) + 1):
-            docs = within[c]
-            if len(docs) > head:
-                cut = np.partition(score[docs], len(docs) - head)[len(docs) - head]
-                cuts[q, c] = cut
-                docs = docs[score[docs] >= cut]
-            docs = docs[raw[docs] > 0]
-            found.append((np.full(len(docs), q), np.full(len(docs), c), docs, score[docs]))
-    return (*(np.concatenate(x) if found else np.zeros(0, kind) for x, kind in zip(zip(*found, strict=True) if found else [()] * 4, (int, int, int, float), strict=True)), cuts)
+        c = count[i:j]
+        at = np.arange(c.sum()) + np.repeat(begin[i:j] - np.cumsum(c) + c, c)
+        first, last = int(q[i]), int(q[j - 1]) + 1
+        flat = posting[at] + np.repeat((q[i:j] - first) * n, c)
+        scores[first:last] += np.bincount(flat, weight[at], (last - first) * n).reshape(last - first, n)
+    return scores
+
+
+def near(at: str, free: np.ndarray, asked: list[np.ndarray], classes: np.ndarray, head: int) -> tuple[np.ndarray, ...]:
+    """For each seed (its terms) and length class: the best free documents of the shard.
+
+    Seed, document and score of each, and by seed and class the score down to which none is missing (0: none at all).
+    """
+    posting, weight, vocab, begin, left = (np.asarray(_load(at, n)) for n in ("posting", "weight", "vocab", "begin", "left"))
+    n = len(left)
+    cuts, found = np.zeros((len(asked), len(classes))), []
+    if len(vocab) and n:
+        terms = np.concatenate(asked)
+        q = np.repeat(np.arange(len(asked)), [len(t) for t in asked])
+        place = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
+        known = vocab[place] == terms
+        q, place = q[known], place[known]
+        scores = _score(len(asked), n, posting, weight, q, begin[place], begin[place + 1] - begin[place])
+        scores *= np.unpackbits(free, count=n)
+        bounds = [int(np.searchsorted(left, 0, "right")), *np.searchsorted(left, classes, "right").tolist()]  # documents lie in order of length
+        for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            part = scores[:, a:b]
+            least = np.full(len(asked), 5e-324)
+            if b - a > head:
+                kth = np.partition(part, b - a - head, axis=1)[:, b - a - head].round(9)
+                cuts[:, c] = np.maximum(kth, 0.0)
+                least = np.maximum(kth - 5e-10, least)
+            i, j = np.nonzero(part >= least[:, None])
+            score = part[i, j].round(9)
+            whole = score >= cuts[i, c]
+            found.append((i[whole], j[whole] + a, score[whole]))
+    return (*(np.concatenate(x) if found else np.zeros(0, kind) for x, kind in zip(zip(*found, strict=True) if found else [()] * 3, (int, int, float), strict=True)), cuts)
 
 
 class _Corpus:
     """The state of a packing: documents by rank (their order as seeds), what is left of each, which are free, and the shards that hold them."""
 
     def __init__(self, spark, rows, window: int):
-        self.sc, self.window, self.caps = spark.sparkContext, window, _caps(window)
+        self.sc, self.window, self.classes = spark.sparkContext, window, _classes(window)
         self.at = [r["at"] for r in rows]
         ids, n_words, th = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows] or [np.zeros(0, np.int64)]) for c in ("ids", "n_words", "th"))
         self.bounds = np.cumsum([0, *(len(r["ids"]) // 8 for r in rows)])
@@ -253,44 +289,45 @@ class _Corpus:
         first, k = _load(self.at[shard], "first"), self.place[doc] - self.bounds[shard]
         return np.array(_load(self.at[shard], "terms")[first[k] : first[k + 1]])
 
-    def merged(self, answers, n: int) -> list[list[tuple[np.ndarray, bool]]]:
-        """By seed and cap: documents best first, as far as all shards' heads are whole, and whether more may follow."""
-        cut = np.max([a[4] for a in answers], axis=0)
-        q, c, doc, score = (np.concatenate([a[i] for a in answers]) for i in range(4))
-        doc = self.rank[doc + np.repeat(self.bounds[:-1], [len(a[2]) for a in answers])]
-        sure = score >= cut[q, c]
-        q, c, doc, score = q[sure], c[sure], doc[sure], score[sure]
-        order = np.lexsort((doc, -score, c, q))
-        key, doc = (q * len(self.caps) + c)[order], doc[order]
-        ends = np.searchsorted(key, np.arange(n * len(self.caps) + 1))
-        return [[(doc[ends[i * len(self.caps) + j] : ends[i * len(self.caps) + j + 1]], cut[i, j] > 0) for j in range(len(self.caps))] for i in range(n)]
+    def merged(self, answers, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By seed: documents best first, their scores, and by class the score down to which all shards' heads are whole."""
+        cut = np.max([a[3] for a in answers], axis=0)
+        q, doc, score = (np.concatenate([a[i] for a in answers]) for i in range(3))
+        doc = self.rank[doc + np.repeat(self.bounds[:-1], [len(a[1]) for a in answers])]
+        sure = score >= cut[q, np.searchsorted(self.classes, self.left[doc])]
+        q, doc, score = q[sure], doc[sure], score[sure]
+        order = np.lexsort((doc, -score, q))
+        ends = np.searchsorted(q[order], np.arange(n + 1))
+        doc, score = doc[order], score[order]
+        return [(doc[a:b], score[a:b], cut[i]) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
 
     def ask(self, seeds: np.ndarray):
         if self.free.sum() * 2 < self.indexed:
             self.sc.parallelize(self.shards(), len(self.at)).foreach(_drop_used)
             self.indexed = max(1, int(self.free.sum()))
-        asked = self.sc.broadcast([(self.terms(s), self.window - int(self.left[s])) for s in seeds])
-        caps, head = self.caps, self.head
-        answers = self.sc.parallelize(self.shards(), len(self.at)).map(lambda x: near(x[0], x[1], asked.value, caps, head)).collect()
+        asked = self.sc.broadcast([self.terms(s) for s in seeds])
+        classes, head = self.classes, self.head
+        answers = self.sc.parallelize(self.shards(), len(self.at)).map(lambda x: near(x[0], x[1], asked.value, classes, head)).collect()
         asked.destroy()
         return self.merged(answers, len(seeds))
 
-    def fill(self, seed: int, lists) -> list[int]:
+    def fill(self, seed: int, ranking) -> list[int]:
         self.free[seed] = False
         chosen, room = [seed], self.window - int(self.left[seed])
         while room:
-            docs, more = lists[int(np.searchsorted(self.caps, room))]
-            docs = docs[self.free[docs] & (self.left[docs] <= room)]
-            if not len(docs):
-                if not more:
+            docs, score, cut = ranking
+            ok = np.flatnonzero(self.free[docs] & (self.left[docs] <= room))
+            unseen = float(cut[: int(np.searchsorted(self.classes, room)) + 1].max())  # no document that fits and isn't listed scores this much
+            if not len(ok) or score[ok[0]] < unseen:
+                if not unseen:
                     break
                 self.full += 1
-                asked = [(self.terms(seed), room)]
-                lists = self.merged([near(at, free, asked, self.caps, len(self.ids)) for at, free in self.shards()], 1)[0]
+                ranking = self.merged([near(at, free, [self.terms(seed)], self.classes, len(self.ids)) for at, free in self.shards()], 1)[0]
                 continue
-            chosen.append(int(docs[0]))
-            room -= int(self.left[docs[0]])
-            self.free[docs[0]] = False
+            best = docs[ok[0]]
+            chosen.append(int(best))
+            room -= int(self.left[best])
+            self.free[best] = False
         return chosen
 
     def windows(self):
@@ -300,9 +337,9 @@ class _Corpus:
         start = self.n_words - self.left
         while len(rest := np.flatnonzero(self.free)):
             seeds = rest[: min(SEEDS, max(16, len(rest) // 64))]
-            for seed, lists in zip(seeds, self.ask(seeds), strict=True):
+            for seed, ranking in zip(seeds, self.ask(seeds), strict=True):
                 if self.free[seed]:
-                    chosen = self.fill(seed, lists)
+                    chosen = self.fill(seed, ranking)
                     yield self.ids[chosen].tolist(), start[chosen].tolist(), self.left[chosen].tolist()
 
 
