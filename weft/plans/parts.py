@@ -61,11 +61,11 @@ def _states(spark, d):
     return merge.update_sessions(graph.empty(spark, "session_state"), seen), seen
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS last_extracted_msg_index, TIMESTAMP '2024-01-31 00:00:00' AS last_extraction_at, CAST(1 AS BIGINT) AS total_extractions FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) GROUP BY conv_id")
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS last_extracted_msg_index, CAST(1 AS BIGINT) AS total_extractions FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) GROUP BY conv_id")
 def session_state(spark, d):
     states, _ = _states(spark, d)
     least = _read(spark, d, "conversations").agg(F.min("conv_id").cast("string")).first()[0]
-    return graph.session_state_of(states, least)
+    return graph.session_state_of(states, least).select("session_id", "last_extracted_msg_index", "total_extractions")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) + 5 AS last_extracted_msg_index, CAST(CASE WHEN conv_id % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS total_extractions FROM conversations GROUP BY conv_id")
@@ -318,7 +318,7 @@ def dedup_edges_reference(spark, d):
 _MENTIONED = "m AS (SELECT DISTINCT conv_id, name FROM (SELECT conv_id, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS name FROM conversations) WHERE regexp_matches(name, '^[A-Z][a-z]{3,}$')), p AS (SELECT x.name AS a, y.name AS b, least(0.2, 0.05 * count(*)) AS boost FROM m x JOIN m y ON x.conv_id = y.conv_id AND x.name < y.name GROUP BY ALL HAVING count(*) >= 3)"
 
 
-@query(f"WITH {_MENTIONED} SELECT entity_id, round(sum(boost), 6) AS boost FROM (SELECT a AS entity_id, boost FROM p UNION ALL SELECT b, boost FROM p) GROUP BY entity_id")
+@query(f"WITH {_MENTIONED} SELECT entity_id, round(CAST(sum(boost) AS DOUBLE), 6) AS boost FROM (SELECT a AS entity_id, boost FROM p UNION ALL SELECT b, boost FROM p) GROUP BY entity_id")
 def mention_boosts(spark, d):
     return dream.boosts_by_mentions(fixtures.mentions(spark, d).select(F.col("name").alias("entity"), F.col("conv_id").alias("session"))).select("entity_id", F.round("boost", 6).alias("boost"))
 
@@ -373,12 +373,12 @@ def schema_steps(spark, d):
     return store.table("schema_meta").select("version", "description", "rollback_sql")
 
 
-@query(_WITH + "SELECT TIMESTAMP '2024-02-01 00:00:00' AS last_backup, CAST(2 AS BIGINT) AS n_backups, (SELECT count(*) FROM e) AS entity_count")
+@query(_WITH + "SELECT CAST(24 AS BIGINT) AS hours_later, CAST(2 AS BIGINT) AS n_backups, (SELECT count(*) FROM e) AS entity_count")
 def last_backup(spark, d):
     store, g = Store(spark, _new_folder(spark, "store")), fixtures.graph(spark, d)
     for at in (AS_OF + timedelta(days=1), AS_OF):
         store.record_backup(jsonl.export_snapshot(g, _new_folder(spark, "snapshot"), at, 2))
-    made = spark.createDataFrame([(store.last_backup(),)], "last_backup timestamp")
+    made = spark.createDataFrame([(int((store.last_backup() - AS_OF).total_seconds() // 3600),)], "hours_later long")
     return made.crossJoin(store.table("manifest").agg(F.count("*").alias("n_backups"), F.max("entity_count").alias("entity_count")))  # of one row each
 
 
