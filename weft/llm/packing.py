@@ -258,8 +258,8 @@ def near(at: str, free: np.ndarray, asked: list[np.ndarray], classes: np.ndarray
             i, j = np.nonzero(part >= least[:, None])
             score = part[i, j].round(9)
             whole = score >= cuts[i, c]
-            found.append((i[whole], j[whole] + a, score[whole]))
-    return (*(np.concatenate(x) if found else np.zeros(0, kind) for x, kind in zip(zip(*found, strict=True) if found else [()] * 3, (int, int, float), strict=True)), cuts)
+            found.append((i[whole].astype(np.int32), (j[whole] + a).astype(np.int32), score[whole]))
+    return (*(np.concatenate(x) if found else np.zeros(0, kind) for x, kind in zip(zip(*found, strict=True) if found else [()] * 3, (np.int32, np.int32, float), strict=True)), cuts)
 
 
 class _Corpus:
