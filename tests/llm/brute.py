@@ -106,8 +106,8 @@ def segmentation_cost(value):
     return best[-1]
 
 
-def packed(docs, window, shards_of, k1=1.2, b=0.75):
-    """Windows of (doc_id, text) rows as lists of (doc_id, start, length); shards_of: doc_id -> shard."""
+def packed(docs, window, shards_of, k1=1.2, b=0.75, every=1):
+    """Windows of (doc_id, text) rows as lists of (doc_id, start, length); shards_of: doc_id -> shard; every: divides the seeds' doc_ids."""
     rows = [(i, t, terms(t)) for i, t in docs if i is not None and t is not None]
     rows = [r for r in rows if r[2]]
     n, mean = len(rows), sum(len(r[2]) for r in rows) / max(1, len(rows))
@@ -123,11 +123,10 @@ def packed(docs, window, shards_of, k1=1.2, b=0.75):
             if len(w) % window:
                 free[k] = len(w) % window
         left = dict(free)
-        for seed in range(len(own)):
-            if seed not in free:
-                continue
-            del free[seed]
-            took, room = [seed], window - left[seed]
+
+        def filled(seed, left=left, free=free, own=own):
+            took = [seed] if free.pop(seed, 0) else []
+            room = window - sum(left[k] for k in took)
             q = set(own[seed][2])
             score = {}
             for k in free:
@@ -140,7 +139,15 @@ def packed(docs, window, shards_of, k1=1.2, b=0.75):
                     took.append(k)
                     room -= left[k]
                     del free[k]
-            out.append([(own[k][0], len(own[k][2]) - left[k], left[k]) for k in took])
+            return [[(own[k][0], len(own[k][2]) - left[k], left[k]) for k in took]] if took else []
+
+        seeds = [k for k, r in enumerate(own) if r[0] % every == 0] if every > 1 else []
+        for at, seed in enumerate(seeds):
+            for _ in range(-(-sum(free.values()) // (window * (len(seeds) - at)))):
+                out += filled(seed)
+        for seed in range(len(own)):
+            if seed in free:
+                out += filled(seed)
     return out
 
 

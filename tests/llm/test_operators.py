@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -600,6 +601,39 @@ def test_packing_searches_all_shards(spark, monkeypatch):
     assert sorted(sorted(i for i, _, _ in w) for w in got) == [[i, i + 1500] for i in range(1500)]
 
 
+@pytest.mark.parametrize(("seeds", "head", "stays"), [(256, 512, 0.8), (7, 1, 0.99), (5, 16, 0.5)])
+def test_packing_by_every_nth_row_equals_brute_force(spark, monkeypatch, seeds, head, stays):
+    """Seeds that take their share of all documents; the Greek ones share no word with a seed, and are packed all the same."""
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, rng.randrange(1, 140), 60)) for i in range(1, 160)] + [(0, sentence(rng, 100)), (40, sentence(rng, 30, 60))]
+    rows += [(1001 + 10 * i, " ".join(rng.choice("αβγδε") for _ in range(rng.randrange(1, 60)))) for i in range(12)] + [(70, "ζ"), (80, None)]
+    for name, x in (("SEEDS", seeds), ("HEAD", head), ("STAYS", stays)):
+        monkeypatch.setattr(packing, name, x)
+    got = windows(packing.pack(docs(spark, rows).repartition(5), window=100, every=10))
+    assert got == sorted(brute.packed(rows, 100, lambda _: 0, every=10))
+    covered = Counter((i, w) for pack in got for i, s, k in pack for w in range(s, s + k))
+    assert covered == Counter((i, w) for i, t in rows for w in range(len((t or "").split())))
+
+
+def test_packing_asks_once_for_many_windows_and_leaves_a_small_index(spark, monkeypatch):
+    """Rows whose doc_id 50 divides are asked for, and few others: what shares no word with the last of them. The files take under 20 bytes a posting."""
+    rng = random.Random(15)
+    rows = [(i, sentence(rng, 40, 400)) for i in range(1000)]
+    asked, taken = [], []
+    ask = packing._Corpus.ask
+
+    def counted(self, seeds, head):
+        asked.extend(seeds.tolist())
+        taken.append(sum(p.stat().st_size for at in self.at for p in Path(at).rglob("*.npy")))
+        return ask(self, seeds, head)
+
+    monkeypatch.setattr(packing._Corpus, "ask", counted)
+    got = windows(packing.pack(docs(spark, rows).repartition(2), window=200, every=packing.EVERY))
+    assert sorted(i for w in got for i, _, _ in w) == list(range(1000))
+    assert set(asked) >= set(range(0, 1000, 50)) and len(asked) <= 40 and len(got) >= 200
+    assert taken[0] < 20 * sum(len(set(t.split())) for _, t in rows)
+
+
 def test_packing_odd_rows(spark):
     d = odd(spark)
     covered = Counter()
@@ -627,7 +661,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert set(gone) >= {100 + i for i in range(10)} and not {i for i in gone if i < 100}
     found = brute.spans(kept, suffix.LENGTH)
     kept = [(i, brute.masked(brute.cut(t, found.get((i, t), [])))) for i, t in kept]
-    assert got == sorted(brute.packed(kept, packing.WINDOW, lambda _: 0))
+    assert got == sorted(brute.packed(kept, packing.WINDOW, lambda _: 0, every=packing.EVERY))
     d = docs(spark, rows)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, str(tmp_path)).columns == d.columns, name
