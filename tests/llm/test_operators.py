@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import shutil
 from collections import Counter
 from pathlib import Path
 
@@ -322,6 +323,20 @@ def test_quality_equals_python(spark):
     assert quality.keep(d.limit(0)).count() == 0
 
 
+def test_a_later_policy_reads_the_stored_ledger(spark, tmp_path):
+    """Decisions of old and new policies, and ablations, when the texts are gone."""
+    texts = ["", "a b", "x " * 30, "#### $$$$ %%%%", "fine words make a fine text", "A | B | C | D", None]
+    docs(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    led = quality.ledger(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    shutil.rmtree(tmp_path)
+    bits = [brute.fail_bits(t) for t in texts]
+    later = {"later": quality._mask("few_words", "menu_bars")}
+    for r in quality.decide(led, later).collect():
+        assert r.fail_bits == bits[r.doc_id]
+        assert all(r[f"keeps_{v}"] == (not bits[r.doc_id] & mask) for v, mask in (quality.POLICIES | later).items())
+    assert {(r.n_docs, r.n_rejected) for r in quality.ablation(led).collect() if r.policy == "v3"} == {(7, sum(b & quality.POLICIES["v3"] > 0 for b in bits))}
+
+
 @pytest.mark.parametrize("n", [2000, 2001, 5000])
 def test_variety_is_judged_at_all_lengths(spark, n):
     rng = random.Random(n)
