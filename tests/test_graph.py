@@ -238,6 +238,22 @@ def test_fuzzy_is_exact(spark):
     assert g.relationships.first().source_name == "Docker"
 
 
+def test_fuzzy_over_serial_names(spark):
+    """20,000 names of which almost all match: forming the pairs that share bigrams took longer than anyone waited."""
+    import time
+
+    rows = [(f"Customer#{i * 7919 % 100_000:09d}", 0.5, 3 - i // 10_000) for i in range(20_000)]
+    began = time.perf_counter()
+    got = {r.name: r.primary for r in fuzzy.leaders(entities(spark, rows)).collect()}
+    assert time.perf_counter() - began < 90
+    rows.sort(key=lambda r: (-r[2], -r[1], r[0]))
+    first = {r[0] for r in rows[:400]}  # what comes later in rank doesn't change them
+    assert {n: p for n, p in got.items() if n in first} == naive(rows[:400])
+    odd = [(None, None), (None, 0.5), (2, None), (2, 0.5), (2, float("nan"))]
+    left = fuzzy.leaders(entities(spark, [(f"same name {i}", c, m) for i, (m, c) in enumerate(odd)]))
+    assert {r.primary for r in left.collect()} == {"same name 0"} and left.count() == 4  # nulls come first
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     g = world(spark, [("A", 0.5, 1, {"aliases": ["x", "ü"], "description": 'say "hi"\nnow'}), ("B", 0.5, 1)], [("A", "B", "uses", 0.25)])
     at = f"file://{tmp_path}/snap"
