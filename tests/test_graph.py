@@ -285,6 +285,28 @@ def test_snapshot_round_trip(spark, tmp_path):
         jsonl.import_snapshot(none, at)
 
 
+def test_one_file_never_passes_through_python(spark, tmp_path, monkeypatch):
+    """The lines of a snapshot in one file were joined to one text in the driver, and read back as one."""
+    import hashlib
+
+    from pyspark.sql import DataFrame
+
+    g = world(spark, [(f"näme {i}", 0.5, i) for i in range(300)], [("näme 1", "näme 2", "uses", 0.25)])
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    monkeypatch.setattr(jsonl, "bytes_verified", None)
+    at = tmp_path / "all.jsonl"
+    header = jsonl.export_file(g, f"file://{at}", T0, 2)
+    assert (header["entity_count"], header["relationship_count"], header["memory_id_count"]) == (300, 1, 300)
+    lines = at.read_text().splitlines()
+    bare = {k: v for k, v in header.items() if k != "checksum"}
+    assert header["checksum"] == hashlib.sha256("".join(f"{x}\n" for x in [json.dumps(bare), *lines[1:]]).encode()).hexdigest()
+    assert json.loads(lines[0]) == header and [json.loads(x)["name"] for x in lines[1:301]] == sorted(f"näme {i}" for i in range(300))
+    none = Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids")))
+    assert jsonl.import_snapshot(none, f"file://{at}").entities.count() == 300
+    with pytest.raises(ValueError, match="too many"):
+        jsonl.export_file(g, f"file://{tmp_path}/more.jsonl", T0, 2, most=600)
+
+
 def test_sync_files_and_stamps(spark, tmp_path):
     g = world(spark, [("A", 0.5, 1)], [("A", "B", "uses", 0.25)])
     folder = f"file://{tmp_path}"

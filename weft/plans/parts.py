@@ -386,7 +386,7 @@ def last_backup(spark, d):
 def snapshot_file(spark, d):
     """A snapshot in one file, checked and read into an empty graph."""
     at = _new_folder(spark, "snapshot") + ".jsonl"
-    jsonl.export_file(fixtures.graph(spark, d), at, AS_OF, 2, most=10_000_000)
+    jsonl.export_file(fixtures.graph(spark, d), at, AS_OF, 2)
     back = jsonl.import_snapshot(graph.Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids"))), at)
     return back.entities.select("name", F.round("confidence", 6).alias("confidence"), "mention_count")
 

@@ -10,12 +10,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import merge
+from weft.operators.components import shared_folder, small_tasks
 from weft.operators.graph import EDGE, ENTITY, MEMORY, Graph
 
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -80,10 +83,11 @@ def export_snapshot(g: Graph, path: str, exported_at: datetime, schema_version:
     return {"snapshot_id": at, "created_at": exported_at, "schema_version": schema_version, "entity_count": counts[0], "relationship_count": counts[1], "db_checksum": header["checksum"], "backup_path": path, "integrity_status": "ok"}
 
 
-def export_file(g: Graph, path: str, exported_at: datetime, schema_version: int, most: int = 1_000_000) -> dict:
+def export_file(g: Graph, path: str, exported_at: datetime, schema_version: int, most: int | None = None) -> dict:
     """Writes a snapshot as one file, which other tools read too; returns its header.
 
-    The text passes through the driver, so more than ``most`` records are refused: they take ``export_snapshot``.
+    The cluster sorts and writes the lines, and the driver's JVM copies them behind the header, so that its
+    memory holds a buffer only.  ``most``: more records than that are refused.
     """
     spark = g.entities.sparkSession
     parts = [
@@ -91,21 +95,63 @@ def export_file(g: Graph, path: str, exported_at: datetime, schema_version: int,
         _record(g.relationships.orderBy("created_at", "source_name", "target_name", "rel_type"), "relationship", EDGE),
         _record(g.memory_ids.orderBy("entity_id", "memory_id"), "memory_id", MEMORY),
     ]
-    counts = [p.count() for p in parts]
-    if sum(counts) > most:
-        raise ValueError(f"{sum(counts)} records: too many for one file")
-    rest = "".join(f"{r.value}\n" for p in parts for r in p.toLocalIterator())
-    header = {"type": "graph_snapshot", "schema_version": schema_version, "exported_at": exported_at.isoformat(), "entity_count": counts[0], "relationship_count": counts[1], "memory_id_count": counts[2]}
-    header["checksum"] = hashlib.sha256((json.dumps(header) + "\n" + rest).encode()).hexdigest()
-    write_text(spark, path, json.dumps(header) + "\n" + rest)
+    root = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    folders = [f"{root}/{i}" for i in range(3)]
+    fs, at = _file_system(spark, root)
+    try:
+        with small_tasks(spark):
+            for p, folder in zip(parts, folders, strict=True):
+                p.write.text(folder)
+        counts = [spark.read.text(folder).count() for folder in folders]
+        if most is not None and sum(counts) > most:
+            raise ValueError(f"{sum(counts)} records: too many for one file")
+        header = {"type": "graph_snapshot", "schema_version": schema_version, "exported_at": exported_at.isoformat(), "entity_count": counts[0], "relationship_count": counts[1], "memory_id_count": counts[2]}
+        header["checksum"] = _digested(spark, (json.dumps(header) + "\n").encode(), lambda out: [_copy(spark, folder, out) for folder in folders])
+        to, file = _file_system(spark, path)
+        out = to.create(file, True)
+        try:
+            out.write(bytearray((json.dumps(header) + "\n").encode()))
+            for folder in folders:
+                _copy(spark, folder, out)
+        finally:
+            out.close()
+    finally:
+        fs.delete(at, True)
     return header
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One file of that text, on any file system."""
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as an object of the JVM."""
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def _copy(spark: SparkSession, folder: str, out) -> None:
+    """The bytes of a folder's part files, in order, to a stream of the JVM."""
+    fs, at = _file_system(spark, folder)
+    files = {f.getPath().getName(): f.getPath() for f in fs.listStatus(at)}
+    for name in sorted(n for n in files if n.startswith("part-")):
+        source = fs.open(files[name])
+        try:
+            spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16)
+        finally:
+            source.close()
+
+
+def _digested(spark: SparkSession, head: bytes, copy: Callable) -> str:
+    """SHA-256 of ``head`` and of what ``copy`` writes to the stream that it is given."""
+    jvm = spark.sparkContext._jvm
+    sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    sha.update(bytearray(head))
+    copy(jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), sha))
+    return bytes(sha.digest()).hex()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of that text, on any file system."""
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
@@ -130,6 +176,24 @@ def bytes_verified(content: str) -> bool:
     return claimed is None or hashlib.sha256((json.dumps(header) + "\n" + rest).encode()).hexdigest() == claimed
 
 
+def file_verified(spark: SparkSession, path: str) -> bool:
+    """``bytes_verified`` of a file, which is streamed."""
+    jvm = spark.sparkContext._jvm
+    fs, at = _file_system(spark, path)
+    source = fs.open(at)
+    try:
+        first = jvm.org.apache.hadoop.io.Text()
+        header_bytes = jvm.org.apache.hadoop.util.LineReader(source, 1 << 16, bytearray(b"\n")).readLine(first)
+        header = json.loads(first.toString())
+        claimed = header.pop("checksum", None)
+        if claimed is None:
+            return True
+        source.seek(header_bytes)
+        return claimed == _digested(spark, (json.dumps(header) + "\n").encode(), lambda out: jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16))
+    finally:
+        source.close()
+
+
 def import_snapshot(g: Graph, path: str, mode: str = "merge") -> Graph:
     """The graph after an import: later rows evict earlier ones by name or id; mode 'replace' starts from nothing.
 
@@ -137,7 +201,7 @@ def import_snapshot(g: Graph, path: str, mode: str = "merge") -> Graph:
     """
     spark = g.entities.sparkSession
     if path.endswith(".jsonl"):
-        whole, parts = bytes_verified(spark.read.text(path, wholetext=True).first().value), path
+        whole, parts = file_verified(spark, path), path
     else:
         whole, parts = verified(spark, path), [f"{path}/part={i}" for i in (1, 2, 3)]
     if not whole:
