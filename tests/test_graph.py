@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import names
 from weft.functions.extract import JsonExtractor, Retried, RuleExtractor
-from weft.operators import dream, fuzzy, graph, health, ingest, merge, recall, search
+from weft.operators import components, dream, fuzzy, graph, health, ingest, merge, recall, search
 from weft.operators.graph import Graph
 from weft.sources import files, jsonl
 from weft.sources.store import Store
@@ -485,3 +485,13 @@ def test_store_keeps_what_does_not_change(spark, tmp_path):
     s.commit(entities=s.table("entities").limit(0))
     s.vacuum()
     assert s.table("entities").count() == 0 and s.table("postings").count() == 1 and not (tmp_path / "s" / "v=1" / "entities").exists()
+
+
+def test_tasks_do_not_grow_with_tables(spark):
+    """Tables in the shared folder are written in files of bounded rows, by tasks of bounded bytes; settings stay as they were."""
+    had = {k: spark.conf.get(k, None) for k in components.SMALL}
+    n = components.FILE_ROWS * 2 + 1
+    t = components.shared_table(spark.range(0, n, numPartitions=1).selectExpr("id % 7 AS a", "id"))
+    assert len(t.inputFiles()) == 3 and t.count() == n
+    assert had == {k: spark.conf.get(k, None) for k in components.SMALL}
+    assert components.spread(t, 10 * components.TASK_ROWS, "a").rdd.getNumPartitions() == 10

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import names
 from weft.operators import search
-from weft.operators.components import shared_folder
+from weft.operators.components import FILE_ROWS, shared_folder, small_tasks
 from weft.operators.graph import Graph
 
 #: The views as SQL that any engine runs; ``{t}`` stands for a table's name.
@@ -61,7 +61,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
         path = f"{shared_folder(spark)}/view-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        with small_tasks(spark):
+            make().write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key])
 
@@ -83,7 +84,8 @@ def index(spark: SparkSession, sf_dir: str) -> search.Index:
     """The search index of the entity view, made once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        _indexes[key] = search.index(entities(spark, sf_dir))
+        with small_tasks(spark):
+            _indexes[key] = search.index(entities(spark, sf_dir))
     return _indexes[key]
 
 
