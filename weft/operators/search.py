@@ -158,6 +158,10 @@ def search(entities: DataFrame, queries: DataFrame, limit: int = 10, domain: str
     return first.unionByName(like(entities, rest, limit, domain, etype).select(first.columns))
 
 
+#: Rows, and cosines, that a task holds at once.
+ROWS, CELLS = 2048, 2**20
+
+
 def similar(embeddings: DataFrame, wanted: DataFrame, limit: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
     """query_id, rank, id, cosine: the embeddings nearest to each of ``wanted`` (query_id, vector), exactly.
 
@@ -198,8 +202,8 @@ def _nearest(sent, limit: int, id_col: str):
             by_size.setdefault(len(v), []).append(i)
         unit = {n: np.stack([vectors[i] for i in which]) for n, which in by_size.items()}
         norm = {n: np.linalg.norm(m, axis=1) for n, m in unit.items()}
-        best: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
+        best: dict[tuple[int, int], pd.DataFrame] = {}
+        for pdf in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
             sizes = pdf["v"].map(len)
             for n, which in by_size.items():
                 own = pdf[sizes == n]
@@ -207,15 +211,21 @@ def _nearest(sent, limit: int, id_col: str):
                     continue
                 m = np.stack(own["v"].to_numpy())
                 length = np.linalg.norm(m, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cosine = np.round((unit[n] @ m.T) / np.outer(norm[n], length), 6)
-                cosine[~np.isfinite(cosine)] = -np.inf
-                k = min(limit, cosine.shape[1])
-                cut = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
-                row, col = np.nonzero((cosine >= cut[:, None]) & np.isfinite(cosine))
-                new = pd.DataFrame({"q": np.asarray(which)[row], "id": own["id"].to_numpy()[col], "cosine": cosine[row, col]})
-                both = pd.concat([best[n], new]) if n in best else new
-                best[n] = both.sort_values(["q", "cosine", "id"], ascending=[True, False, True]).groupby("q").head(limit)
+                step = CELLS // ROWS
+                for start in range(0, len(which), step):
+                    some = slice(start, start + step)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cosine = unit[n][some] @ m.T
+                        cosine /= norm[n][some, None]
+                        cosine /= length
+                    np.round(cosine, 6, out=cosine)
+                    cosine[~np.isfinite(cosine)] = -np.inf
+                    k = min(limit, cosine.shape[1])
+                    cut = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+                    row, col = np.nonzero((cosine >= cut[:, None]) & np.isfinite(cosine))
+                    new = pd.DataFrame({"q": np.asarray(which[some])[row], "id": own["id"].to_numpy()[col], "cosine": cosine[row, col]})
+                    both = pd.concat([best[n, start], new]) if (n, start) in best else new
+                    best[n, start] = both.sort_values(["q", "cosine", "id"], ascending=[True, False, True]).groupby("q").head(limit)
         for found in best.values():
             yield pd.DataFrame({"query_id": [ids[i] for i in found["q"]], id_col: found["id"].to_numpy(), "cosine": found["cosine"].to_numpy()})
 
