@@ -331,8 +331,7 @@ def checkpoint_pass(spark, d):
 
 @query(_WITH + "SELECT md5(name) AS id, gram, count(*) AS n FROM (SELECT name, unnest(CASE WHEN length(low) < 2 THEN [low] ELSE list_transform(range(1, length(low)), lambda i: substr(low, i, 2)) END) AS gram FROM (SELECT name, lower(trim(name)) AS low FROM e)) GROUP BY ALL")
 def bigram_counts(spark, d):
-    e = fixtures.entities(spark, d)
-    return e.select(F.md5("name").alias("id"), F.explode(fuzzy.bigrams(F.lower(F.trim("name")))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
+    return fuzzy.gram_counts(fixtures.entities(spark, d)).select(F.md5("name").alias("id"), "gram", "n")
 
 
 def _pairs_of_variants(spark, d):
