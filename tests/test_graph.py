@@ -495,3 +495,57 @@ def test_tasks_do_not_grow_with_tables(spark):
     assert len(t.inputFiles()) == 3 and t.count() == n
     assert had == {k: spark.conf.get(k, None) for k in components.SMALL}
     assert components.spread(t, 10 * components.TASK_ROWS, "a").rdd.getNumPartitions() == 10
+
+
+def test_neighbourhood_of_names_with_many_edges(spark, monkeypatch):
+    """A name's edges in slices give the same first edges, for few names and for many."""
+    g = edges(spark, [(f"s{i % 97}", f"t{i % 5}", f"r{i % 3}", (i * 31 % 11) / 10) for i in range(3000)]).dropDuplicates(["source_name", "target_name", "rel_type"])
+    g = components.shared_table(g.unionByName(edges(spark, [("loop", "loop", "uses", 0.5), ("loop", "t1", "uses", 0.5)])))
+    names_ = spark.createDataFrame([(f"s{i}",) for i in range(0, 97, 3)] + [("t1",), ("t4",), ("loop",), ("none",), ("t1",)], "name string")
+    rows = lambda: sorted(map(tuple, graph.neighbourhood(names_, g, 5).collect()))
+    whole = rows()
+    slices = []
+    monkeypatch.setattr(components, "TASK_ROWS", 200)
+    monkeypatch.setattr(components, "spread", lambda df, n, *keys, real=components.spread: slices.append(df.select(*keys).distinct().where("name = 't1'").count()) or real(df, n, *keys))
+    assert rows() == whole
+    monkeypatch.setattr(graph, "FEW", 1)
+    assert rows() == whole and slices[0] > 1 and slices[2] > 1
+
+
+def test_messages_of_the_same_words_are_answered_once(spark, monkeypatch):
+    """Messages that repeat were joined with entities and edges one by one."""
+    g = world(spark, [("Docker Engine", 0.9, 5), ("Redis", 0.8, 3), ("Top", 0.9, 9)], [("Docker Engine", "Redis", "uses", 0.5)])
+    asked = []
+    monkeypatch.setattr(recall, "_found", lambda e, worded, *more, real=recall._found: asked.append(worded.count()) or real(e, worded, *more))
+    texts_ = ["What is the docker?", "about redis", "What is the docker?", "zzz", None]
+    rows = [(i, texts_[i % 5], 0) for i in range(50)] + [(0, "about redis", 0)]  # one message in two texts
+    got = {r.message_id: r.entities for r in recall.recall(g, spark.createDataFrame(rows, "message_id int, text string, iteration int")).collect()}
+    named = {i: [x.name for x in e] for i, e in got.items()}
+    assert asked == [5] and len(named) == 50
+    assert named[0] == ["Docker Engine", "Redis"] and named[1] == ["Redis"] and named[2] == ["Docker Engine"] and named[3] == named[4] and named[3][0] == "Top"
+
+
+def test_bigrams_are_counted_in_their_row(spark):
+    """Bigrams of all names were gathered in one hash table; names that repeat still add up."""
+    got = {(r.name, r.gram): r.n for r in fuzzy.gram_counts(entities(spark, [("abab", 0.5, 1), ("x", 0.5, 1)]).unionByName(entities(spark, [("abab", 0.5, 1)]))).collect()}
+    assert got == {("abab", "ab"): 4, ("abab", "ba"): 2, ("x", "x"): 1}
+
+
+def test_nearest_holds_few_cosines_at_once(spark, monkeypatch):
+    """All queries of a block were held against all rows of a batch, in several copies."""
+    import numpy as np
+
+    rng, sizes = np.random.default_rng(1), []
+    v = rng.normal(size=(600, 4)).round(1).tolist()
+    monkeypatch.setattr(search, "ROWS", 64)
+    monkeypatch.setattr(search, "CELLS", 64 * 7)
+    monkeypatch.setattr(search.np, "partition", lambda a, *x, real=np.partition, **k: sizes.append(a.size) or real(a, *x, **k))
+    sent = type("Sent", (), {"value": ([*range(30)], [np.array(x) for x in v[:30]])})
+    import pandas as pd
+
+    got = pd.concat([*search._nearest(sent, 5, "vec_id")([pd.DataFrame({"id": range(600), "v": [np.array(x) for x in v]})])])
+    m = np.array(v)
+    for q in range(30):
+        cosine = np.round(m @ m[q] / np.linalg.norm(m, axis=1) / np.linalg.norm(m[q]), 6)
+        assert [*got[got.query_id == q].vec_id] == sorted(range(600), key=lambda i: (-cosine[i], i))[:5]
+    assert max(sizes) <= 64 * 7

@@ -7,6 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.operators import components
+from weft.operators.components import shared_table
+
 ENTITY = "entity_id string, name string, type string, domain string, confidence double, mention_count long, first_seen timestamp, last_seen timestamp, description string, aliases array<string>, session_id string, created_at timestamp, canonical_name string"
 EDGE = "source_name string, target_name string, rel_type string, confidence double, source_doc string, created_at timestamp"
 MEMORY = "entity_id string, memory_id string"
@@ -88,15 +91,32 @@ def relationships_of(edges: DataFrame, name: str, limit: int = 20) -> DataFrame:
     return edges.where((F.col("source_name") == name) | (F.col("target_name") == name)).orderBy(F.desc("confidence"), "source_name", "target_name", "rel_type").limit(limit)
 
 
+#: So many names are told to every task.
+FEW = 10_000
+
+
 def neighbourhood(names: DataFrame, edges: DataFrame, per_entity: int, name_col: str = "name") -> DataFrame:
     """For every name its first ``per_entity`` edges, with ``other``, the endpoint that isn't the name.
 
     Edges are read once and listed under both ends (a self-loop once), for one equi-join instead of a join on either end.
+    Where they are many, names of many edges are cut into slices, whose first edges decide, so that no task holds all of a name.
     """
-    n = names.select(F.col(name_col).alias("name")).distinct()
+    n = shared_table(names.select(F.col(name_col).alias("name")).distinct())
     ends = F.array(F.struct(F.col("source_name").alias("name"), F.col("target_name").alias("other")), F.struct(F.col("target_name").alias("name"), F.col("source_name").alias("other")))
     listed = edges.select("*", F.explode(F.array_distinct(ends)).alias("end")).select("end.name", *edges.columns, "end.other")
-    return top_by(n.join(listed, "name"), ["name"], [F.desc("confidence"), F.col("source_name"), F.col("target_name"), F.col("rel_type")], per_entity, "edge_rank")
+    order = [F.desc("confidence"), F.col("source_name"), F.col("target_name"), F.col("rel_type")]
+    rows = 2 * edges.count()
+    if rows <= components.TASK_ROWS:
+        return top_by(n.join(listed, "name"), ["name"], order, per_entity, "edge_rank")
+    few = n.limit(FEW + 1).count() <= FEW
+    if few:
+        listed = F.broadcast(n).join(listed, "name")
+    slice_ = components.TASK_ROWS // 10
+    large = shared_table(listed.groupBy("name").agg(F.count("*").alias("__rows")).where(F.col("__rows") > slice_))  # at most rows / slice_ names
+    sliced = listed.join(F.broadcast(large), "name", "left").withColumn("__slice", F.coalesce(F.pmod(F.xxhash64("source_name", "target_name", "rel_type"), F.floor(F.col("__rows") / slice_) + 1), F.lit(0))).drop("__rows")
+    first = shared_table(top_by(components.spread(sliced, rows, "name", "__slice"), ["name", "__slice"], order, per_entity, "edge_rank").drop("edge_rank", "__slice"))
+    best = top_by(components.spread(first, first.count(), "name"), ["name"], order, per_entity, "edge_rank")
+    return best if few else best.join(n, "name", "left_semi")
 
 
 def by_count(df: DataFrame, column: str) -> DataFrame:

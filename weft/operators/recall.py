@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import texts
 from weft.operators import graph, search
 from weft.operators.components import shared_table
-from weft.operators.graph import Graph, top_by
+from weft.operators.graph import FEW, Graph, top_by
 
 
 def insights(g: Graph, queries: DataFrame, limit: int = 10, entities: int = 5, edges: int = 10, domain: str | None = None, using: search.Index | None = None) -> DataFrame:
@@ -21,16 +21,33 @@ def insights(g: Graph, queries: DataFrame, limit: int = 10, entities: int = 5, e
     return top.join(near, "name", "left").select("query_id", "rank", "name", "type", "domain", "edge_rank", "rel_type", "other", "confidence")
 
 
+def _worded(messages: DataFrame, keywords: int) -> DataFrame:
+    """message_id, words: the lists of keywords of a message's texts, in order; messages of the same words find the same."""
+    return shared_table(messages.groupBy("message_id").agg(F.array_sort(F.collect_set(texts.keywords("text", keywords))).alias("words")))
+
+
+def _found(entities: DataFrame, worded: DataFrame, most: int, using: search.Index | None) -> DataFrame:
+    """words, entity_rank, entity_id for distinct ``words``."""
+    each = worded.select("words", F.explode("words").alias("list")).select("words", F.posexplode("list").alias("word_at", "query"))
+    asked = each.select("query").distinct().withColumn("query_id", F.col("query"))
+    found = search.search(entities, asked, most, using=using).select("query_id", "rank", "entity_id")
+    first = each.join(found, each["query"] == found["query_id"]).groupBy("words", "entity_id").agg(F.min(F.struct("word_at", "rank")).alias("place"))
+    return shared_table(top_by(first, ["words"], [F.col("place"), F.col("entity_id")], most, "entity_rank").drop("place"))
+
+
+def _answered(worded: DataFrame, answers: DataFrame) -> DataFrame:
+    """What was found for the words, for each message that has them."""
+    few = answers.limit(FEW + 1).count() <= FEW
+    return worded.join(F.broadcast(answers) if few else answers, "words").drop("words")
+
+
 def keyword_entities(entities: DataFrame, messages: DataFrame, most: int = 3, keywords: int = 5, using: search.Index | None = None) -> DataFrame:
     """message_id, place, entity_id: the entities that the message's keywords find, in the order of keywords, then of rank.
 
     Each keyword is a search of its own; an entity counts where it is found first.
     """
-    words = shared_table(messages.select("message_id", F.posexplode(texts.keywords("text", keywords)).alias("word_at", "query")))
-    asked = words.select("query").distinct().withColumn("query_id", F.col("query"))
-    found = search.search(entities, asked, most, using=using).select("query_id", "rank", "entity_id")
-    first = words.join(found, words["query"] == found["query_id"]).groupBy("message_id", "entity_id").agg(F.min(F.struct("word_at", "rank")).alias("place"))
-    return top_by(first, ["message_id"], [F.col("place"), F.col("entity_id")], most, "entity_rank").drop("place")
+    worded = _worded(messages, keywords)
+    return _answered(worded, _found(entities, shared_table(worded.select("words").distinct()), most, using))
 
 
 def recall(g: Graph, messages: DataFrame, most: int = 3, keywords: int = 5, per_entity: int = 5, cap: int = 10, using: search.Index | None = None) -> DataFrame:
@@ -38,16 +55,19 @@ def recall(g: Graph, messages: DataFrame, most: int = 3, keywords: int = 5, per_
 
     A message that finds nothing gets the top entities.
     """
-    by_word = shared_table(keyword_entities(g.entities, messages, most, keywords, using))
+    worded = _worded(messages, keywords)
+    asked = shared_table(worded.select("words").distinct())
+    by_word = _found(g.entities, asked, most, using)
     top = graph.top_entities(g.entities, most).withColumn("entity_rank", F.row_number().over(Window.orderBy(F.desc("score"), "name"))).select("entity_id", "entity_rank")
-    rest = messages.select("message_id").join(by_word.select("message_id").distinct(), "message_id", "left_anti").crossJoin(top)  # top: ``most`` rows
-    picked = by_word.select("message_id", "entity_rank", "entity_id").unionByName(rest.select("message_id", "entity_rank", "entity_id"))
+    rest = asked.join(by_word.select("words").distinct(), "words", "left_anti").crossJoin(top)  # top: ``most`` rows
+    picked = by_word.select("words", "entity_rank", "entity_id").unionByName(rest.select("words", "entity_rank", "entity_id"))
     full = shared_table(picked.join(g.entities.select("entity_id", "name", "type", "domain", "description", "confidence"), "entity_id"))
     near = graph.neighbourhood(full.select("name"), g.relationships, per_entity).select("name", "edge_rank", texts.edge_text(F.col("source_name"), F.col("rel_type"), F.col("target_name")).alias("edge"))
-    once = full.select("message_id", "entity_rank", "name").join(near, "name").groupBy("message_id", "edge").agg(F.min(F.struct("entity_rank", "edge_rank")).alias("place"))
-    edges = top_by(once, ["message_id"], [F.col("place")], cap, "n").groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("n", "edge"))).alias("edges"))
-    listed = full.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("entity_rank", "name", "type", "domain", "description", "confidence"))).alias("entities"))
-    return listed.join(edges, "message_id", "left").select("message_id", "entities", F.coalesce(F.expr("edges.edge"), F.array().cast("array<string>")).alias("relationships"))
+    once = full.select("words", "entity_rank", "name").join(near, "name").groupBy("words", "edge").agg(F.min(F.struct("entity_rank", "edge_rank")).alias("place"))
+    edges = top_by(once, ["words"], [F.col("place")], cap, "n").groupBy("words").agg(F.sort_array(F.collect_list(F.struct("n", "edge"))).alias("edges"))
+    listed = full.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("entity_rank", "name", "type", "domain", "description", "confidence"))).alias("entities"))
+    answers = shared_table(listed.join(edges, "words", "left").select("words", "entities", F.coalesce(F.expr("edges.edge"), F.array().cast("array<string>")).alias("relationships")))
+    return _answered(worded, answers)
 
 
 def rendered(recalled: DataFrame, most_edges: int = 5) -> DataFrame:
