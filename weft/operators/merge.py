@@ -140,23 +140,29 @@ def sync_first_wins(store: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def _walk(rows: DataFrame) -> DataFrame:
-    """First come, first served by name and id, in order of seq, within each connected group."""
-    import pandas as pd
+    """First come, first served by name and id, in order of seq, within each connected group.
 
-    schema = rows.schema
-
-    def first_come(pdf: pd.DataFrame) -> pd.DataFrame:
-        names_, ids, keep = set(), set(), []
-        for i, (n, e) in enumerate(zip((pdf := pdf.sort_values("seq"))["name"], pdf["entity_id"], strict=True)):
-            if n not in names_ and e not in ids:
-                names_.add(n)
-                ids.add(e)
-                keep.append(i)
-        return pdf.iloc[keep].drop(columns="__group")
-
-    from weft.operators.components import grouped
-
-    return grouped(rows, "name", "entity_id", "__group").groupBy("__group").applyInPandas(first_come, schema)
+    A task streams through many groups, each in order, and holds the names and ids of one.
+    """
+    import pyarrow as pa
+
+    from weft.operators.components import grouped, shared_table, spread
+
+    def first_come(batches):
+        group, names_, ids = None, set(), set()
+        for batch in batches:
+            keep = []
+            for k, n, e in zip(batch.column("__group").to_pylist(), batch.column("name").to_pylist(), batch.column("entity_id").to_pylist(), strict=True):
+                if k != group:
+                    group, names_, ids = k, set(), set()
+                keep.append(n not in names_ and e not in ids)
+                if keep[-1]:
+                    names_.add(n)
+                    ids.add(e)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    g = shared_table(grouped(shared_table(rows), "name", "entity_id", "__group"))
+    return spread(g, g.count(), "__group").sortWithinPartitions("__group", "seq").mapInArrow(first_come, g.schema).drop("__group")
 
 
 def sync_edges_first_wins(store: DataFrame, incoming: DataFrame) -> DataFrame:
