@@ -102,12 +102,17 @@ def responses(prompts: DataFrame, extractor: Extractor, text_col: str = "text",
     return cut.mapInPandas(run, T.StructType([*cut.schema.fields, T.StructField("raw", T.StringType())]))
 
 
+def _answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and ``answer``, which is parsed from ``raw`` unless it is there."""
+    return answers.select(*keys, "answer" if "answer" in answers.columns else texts.parsed(F.col("raw")).alias("answer"))
+
+
 def entity_records(answers: DataFrame, keys: list[str]) -> DataFrame:
     """The keys, and name, type, domain, description, confidence, aliases, status of every proposed entity.
 
     ``status`` is 'ok' or why it may not enter: the name's broken rule, 'pii', 'low_confidence' or 'bad_confidence'.
     """
-    each = answers.select(*keys, texts.parsed(F.col("raw")).alias("answer")).select(*keys, F.explode("answer.entities").alias("r"))
+    each = _answers(answers, keys).select(*keys, F.explode("answer.entities").alias("r"))
     rows = names.normalize(each.where("r IS NOT NULL").select(*keys, "r.*"), "name")
     rows = rows.withColumns({
         "type": names.corrected_type(F.col("name"), names.coerced(F.col("type"), names.ENTITY_TYPES, "concept")),
@@ -123,7 +128,7 @@ def entity_records(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 def relationship_records(answers: DataFrame, keys: list[str]) -> DataFrame:
     """The keys, and source_name, target_name, rel_type, confidence of every relationship with clean, non-empty ends."""
-    each = answers.select(*keys, texts.parsed(F.col("raw")).alias("answer")).select(*keys, F.explode("answer.relationships").alias("r")).where("r IS NOT NULL")
+    each = _answers(answers, keys).select(*keys, F.explode("answer.relationships").alias("r")).where("r IS NOT NULL")
     rows = each.select(*keys, F.col("r.source").alias("source_name"), F.col("r.target").alias("target_name"), names.coerced(F.col("r.type"), names.REL_TYPES, "related_to").alias("rel_type"), names.clamped(F.col("r.confidence")).alias("confidence"))
     rows = names.normalize(names.normalize(rows, "source_name"), "target_name")
     clean = (F.size(names.pii(F.col("source_name"))) == 0) & (F.size(names.pii(F.col("target_name"))) == 0)

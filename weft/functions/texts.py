@@ -66,11 +66,12 @@ def has_code(text: Column) -> Column:
 
 def unfenced(raw: Column) -> Column:
     """A model's answer without code fences and a leading 'json'."""
+    plain = raw.startswith("{") & raw.endswith("}")  # as most are: the expressions below leave it as it is, at a cost for each character
     bare = F.regexp_replace(raw, r"^(?U)\s+|\s+$", "")
     fence = F.when(bare.startswith("```"), F.when(bare.contains("\n"), F.regexp_replace(bare, r"^[^\n]*\n", "")).otherwise(F.expr("NULL"))).otherwise(bare)
     fence = F.coalesce(fence, F.regexp_replace(bare, "^```", ""))
     bare = F.trim(F.regexp_replace(F.regexp_replace(fence, "```$", ""), r"^(?U)\s+|\s+$", ""))
-    return F.regexp_replace(bare, r"^json(?U)\s*", "")
+    return F.when(plain, raw).otherwise(F.regexp_replace(bare, r"^json(?U)\s*", ""))
 
 
 def parsed(raw: Column) -> Column:

@@ -37,17 +37,17 @@ def extract_and_store(g: Graph, prompts: DataFrame, extractor: Extractor, seen_a
 
     ``resolve_endpoints``: ends of edges take the spelling of the entity that their canonical form belongs to.
     """
-    answers = shared_table(responses(prompts.select("source", "session_id", "seq", "text"), extractor, chars=chars).drop("text"))
     keys = ["source", "session_id", "seq"]
+    answers = shared_table(responses(prompts.select(*keys, "text"), extractor, chars=chars).select(*keys, texts.parsed(F.col("raw")).alias("answer")))
     e = shared_table(entity_records(answers, keys))
-    r = relationship_records(answers, keys)
+    r = shared_table(relationship_records(answers, keys))
     ok = e.where("status = 'ok'").withColumn("seen_at", F.lit(seen_at))
     entities = shared_table(merge.upsert_entities(g.entities, ok.drop("status", "source"), mode))
     if resolve_endpoints:
         r = resolved(r, entities, mode)
     new = r.select("source_name", "target_name", "rel_type", "confidence", F.col("source").alias("source_doc"), F.lit(seen_at).alias("created_at"), "seq")
     edges = merge.upsert_relationships(g.relationships, new)
-    failed = answers.groupBy("source").agg(F.count_if(texts.parsed(F.col("raw")).isNull()).alias("parse_failed"))
+    failed = answers.groupBy("source").agg(F.count_if(F.col("answer").isNull()).alias("parse_failed"))
     counts = e.groupBy("source").agg(F.count_if(F.col("status") == "ok").alias("stored"), F.count_if(F.col("status") != "ok").alias("rejected"))
     related = r.groupBy("source").agg(F.count("*").alias("edges"))
     report = failed.join(counts, "source", "left").join(related, "source", "left").na.fill(0)
