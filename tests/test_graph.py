@@ -549,3 +549,56 @@ def test_nearest_holds_few_cosines_at_once(spark, monkeypatch):
         cosine = np.round(m @ m[q] / np.linalg.norm(m, axis=1) / np.linalg.norm(m[q]), 6)
         assert [*got[got.query_id == q].vec_id] == sorted(range(600), key=lambda i: (-cosine[i], i))[:5]
     assert max(sizes) <= 64 * 7
+
+
+def test_walk_of_tangled_rows_streams(spark):
+    """Tangled rows were handed to pandas group by group; a task walks many groups, whatever the batches."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"n{g}-{rng.randrange(6)}", f"i{g}-{rng.randrange(6)}", i) for i, g in enumerate(rng.randrange(60) for _ in range(900))]
+    df = entities(spark, [(n, 0.5, 1, {"entity_id": e}) for n, e, _ in rows[:1]]).limit(0)
+    incoming = entities(spark, [(n, 0.5, i, {"entity_id": e}) for n, e, i in rows]).withColumn("seq", F.col("mention_count"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.name, r.entity_id, r.mention_count) for r in merge.sync_first_wins(df, incoming).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names_, ids, want = set(), set(), set()
+    for n, e, i in rows:
+        if n not in names_ and e not in ids:
+            want.add((n, e, i))
+            names_.add(n)
+            ids.add(e)
+    assert got == want
+
+
+def test_large_folders_are_compressed(spark, tmp_path, monkeypatch):
+    """Snapshots and sync files of many lines were written as plain text; they read back the same."""
+    monkeypatch.setattr(jsonl, "PLAIN", 10)
+    g = world(spark, [(f"näme {i}", 0.5, i) for i in range(50)], [("näme 1", "näme 2", "uses", 0.25)])
+    none = Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids")))
+    at = f"file://{tmp_path}/snap"
+    jsonl.export_snapshot(g, at, T0, 2)
+    assert [*(tmp_path / "snap" / "part=1").glob("part-*.gz")] and not [*(tmp_path / "snap" / "part=2").glob("part-*.gz")]
+    assert jsonl.verified(spark, at) and jsonl.import_snapshot(none, at).entities.count() == 50
+    path = jsonl.export_sync(g, f"file://{tmp_path}/sync", "me", T0)
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "sync" / "me_graph.jsonl").glob("part-*"))
+    assert jsonl.merge_shared(none, path, T0)[0].entities.count() == 50
+    assert [(r.file, r.bytes > 0) for r in jsonl.sync_status(spark, f"file://{tmp_path}/sync").collect()] == [("me_graph.jsonl", True)]
+
+
+def test_answers_are_parsed_once(spark, monkeypatch):
+    """Each use of an answer parsed it again; a plain object now skips the repair, with the same result."""
+    from weft.functions import texts
+
+    raw = ['{"entities": []}', ' {"entities": []}\n', '```json\n{"entities": []}\n```', "{bad}", "{}", "json {}", None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
+    got = {r.i: (r.u, r.ok) for r in df.select("i", texts.unfenced(F.col("raw")).alias("u"), texts.parsed(F.col("raw")).isNotNull().alias("ok")).collect()}
+    assert [got[i] for i in range(8)] == [('{"entities": []}', True)] * 3 + [("{bad}", False), ("{}", True), ("{}", True), (None, False), ("", False)]
+    calls = []
+    monkeypatch.setattr(texts, "parsed", lambda c, real=texts.parsed: calls.append(1) or real(c))
+    g = Graph(*(graph.empty(spark, t) for t in ("entities", "relationships", "memory_ids")))
+    prompts = spark.createDataFrame([("s", "Docker Engine. Redis Cache")], "source string, text string").select("source", F.lit(None).cast("string").alias("session_id"), F.lit(1).cast("long").alias("seq"), "text")
+    out, report = ingest.extract_and_store(g, prompts, RuleExtractor(), T0)
+    assert out.entities.count() == 4 and report.first().edges == 2 and len(calls) == 1

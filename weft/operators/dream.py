@@ -79,7 +79,7 @@ def absorb(g: Graph, moved: DataFrame, cap: int | None = ALIASES, most_certain:
         "aliases": F.when(F.col("__names").isNull(), F.col("aliases")).otherwise(F.slice(aliases, 1, cap) if cap else aliases),
     }
     out = joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in e.columns))
-    return Graph(out, repoint(g.relationships, moved), g.memory_ids.join(gone.select(F.col("__i").alias("entity_id")), "entity_id", "left_anti"))
+    return Graph(out, shared_table(repoint(g.relationships, moved)), g.memory_ids.join(gone.select(F.col("__i").alias("entity_id")), "entity_id", "left_anti"))
 
 
 def dedup(g: Graph, edge_mode: str = "pairwise") -> Graph:
@@ -100,12 +100,14 @@ def _cross_dropped(edges: DataFrame, moved: DataFrame) -> DataFrame:
     m = moved.select(F.col("name").alias("__dup"), F.col("primary").alias("__primary"))
     primary = m.select("__primary").distinct()
     for near, far in (("source_name", "target_name"), ("target_name", "source_name")):
+        columns = edges.columns
         own = edges.join(primary, edges[near] == primary["__primary"])
-        ends = own.select("__primary", F.col(far).alias("__far")).distinct().withColumn("__end", F.lit(True))
-        kinds = own.select("__primary", F.col("rel_type").alias("__kind")).distinct().withColumn("__type", F.lit(True))
-        tagged = edges.join(m, edges[near] == m["__dup"], "left").withColumns({"__far": F.col(far), "__kind": F.col("rel_type")})
-        tagged = tagged.join(ends, ["__primary", "__far"], "left").join(kinds, ["__primary", "__kind"], "left")
-        edges = shared_table(tagged.where("__end IS NULL OR __type IS NULL").select(edges.columns))
+        ends = own.select(F.col("__primary").alias("__key"), F.col(far).alias("__far")).distinct().withColumn("__end", F.lit(True))
+        kinds = own.groupBy("__primary").agg(F.collect_set("rel_type").alias("__kinds"))
+        tagged = edges.join(m.join(kinds, "__primary"), edges[near] == F.col("__dup"), "left").withColumn("__like", F.coalesce(F.array_contains("__kinds", F.col("rel_type")), F.lit(False)))
+        # Edges that stay whatever the primary's ends are have keys of their own: nulls would meet in one task.
+        keyed = tagged.withColumns({"__key": F.when(F.col("__like"), F.col("__primary")).otherwise(F.concat(F.lit("\x01"), near)), "__far": F.col(far)})
+        edges = shared_table(keyed.join(ends, ["__key", "__far"], "left").where("NOT __like OR __end IS NULL").select(columns))
     return edges.join(m, (edges["source_name"] == m["__dup"]) & (edges["target_name"] == m["__dup"]), "left_anti")
 
 
